@@ -130,6 +130,28 @@ def job_outcomes(decoded: DataFrame) -> DataFrame:
     )
 
 
+def first_silences(events: DataFrame, silence_seconds: int = C.SILENCE_SECONDS) -> DataFrame:
+    """W6 on stored events with ``received_at``: per job the first event after which it stayed silent too long.
+
+    Every event restarts the clock. The previous event is looked up per bucket of ``seq`` and carried
+    over buckets, as in ``job_progress``.
+    """
+    rows = events.select("job", "seq", "received_at", ranking.number_bucket("seq").alias("_bucket"))
+    before = Window.partitionBy("job").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.struct("seq", "received_at")
+    carried = (
+        rows.groupBy("job", "_bucket")
+        .agg(F.max_by(previous, "seq").alias("latest"))
+        .select("job", "_bucket", F.last("latest").over(before).alias("earlier"))
+    )
+    inside = Window.partitionBy("job", "_bucket").orderBy("seq")
+    gaps = rows.join(carried, ["job", "_bucket"]).select(
+        "job", "received_at", F.coalesce(F.lag(previous).over(inside), F.col("earlier")).alias("previous")
+    )
+    silent = F.col("previous.received_at") + F.make_dt_interval(secs=F.lit(silence_seconds)) < F.col("received_at")
+    return gaps.filter(silent).groupBy("job").agg(F.min("previous.seq").alias("last_seq"), F.lit(504).alias("status"))
+
+
 # --- stream -------------------------------------------------------------------------------------
 
 STREAM_OUTPUT = (
