@@ -342,12 +342,8 @@ TEXT_FLAT = f"""{REVIEWS}, flat as (select *, round_even((1 - p)*100, 0) as text
 
 @query(
     "S10_product_response",
-    f"""with {TEXT_FLAT} select platform, product_id, count(*) over (partition by product_id) as review_count, page,
-  md5(ids) as ids, round(scores, 6) as scores, n as entries from (
-  select platform, product_id, ((rn - 1) // 20)::int as page, string_agg(review_id, '|' order by row_no) as ids, sum(text_score) as scores, count(*) as n
-  from (select *, row_number() over (partition by product_id order by row_no) as rn from flat) group by 1, 2, 3) where false
-union all
-select p.platform, p.product_id, c.n as review_count, page, md5(ids), round(scores, 6), p.n from (
+    f"""with {TEXT_FLAT}
+select p.platform, p.product_id, c.n as review_count, page, md5(ids) as ids, round(scores, 6) as scores, p.n as entries from (
   select platform, product_id, ((rn - 1) // 20)::int as page, string_agg(review_id, '|' order by row_no) as ids, sum(text_score) as scores, count(*) as n
   from (select *, row_number() over (partition by product_id order by row_no) as rn from flat) group by 1, 2, 3) p
 join (select product_id, count(*) as n from flat group by 1) c using (product_id)""",
@@ -857,7 +853,7 @@ EXACT_SQL = f"""info as (select doc_id as id, source as p, {sql_norm('text')} as
 sized as (select p, norm, count(*) as same from info group by 1, 2), totals as (select p, count(*) as n from info group by 1),
 evidence as (select id, i.p, same - 1 as k, n - 1 as compared from info i join sized using (p, norm) join totals on totals.p = i.p where n > 1),
 features as (select d.doc_id as id, k, case when k > 0 then 1.0 when k = 0 then 0.0 end::double as smax, k/compared::double as smean,
-  least(3, k)/least(3, compared)::double as top3, coalesce(compared, 0) as compared from documents d left join evidence e on e.id = d.doc_id)"""
+  case when k is not null then least(3, k)/least(3, compared)::double end as top3, coalesce(compared, 0) as compared from documents d left join evidence e on e.id = d.doc_id)"""
 
 
 @query("N7_exact_match_evidence", f"with {EXACT_SQL} {FEATURES_SQL}")
@@ -892,7 +888,7 @@ def n9(t: Tables) -> DataFrame:
     )
 
 
-@query("N10_network_score", f"with {evidence_sql('hybrid')} select cast(id as varchar) as review_id, {sql_round1(SCORE_SQL)} as network_score from features")
+@query("N10_network_score", f"with {evidence_sql('hybrid')} select cast(id as varchar) as review_id, case when smax is not null then {sql_round1(SCORE_SQL)} end as network_score from features")
 def n10(t: Tables) -> DataFrame:
     return network_signal.network_signal(t.reviews()).select("review_id", "network_score")
 
@@ -925,7 +921,7 @@ def n12(t: Tables) -> DataFrame:
 @query(
     "N13_network_for_target",
     f"""with {evidence_sql('hybrid')} select p as product_id, cast(id as varchar) as review_id, k as similar, round(smax, 6) as largest, round(smean, 6) as mean,
-  round(top3, 6) as top3, compared, {sql_round1(SCORE_SQL)} as network_score from features where id in (select min(doc_id) from documents group by source)""",
+  round(top3, 6) as top3, compared, case when smax is not null then {sql_round1(SCORE_SQL)} end as network_score from features where id in (select min(doc_id) from documents group by source)""",
 )
 def n13(t: Tables) -> DataFrame:
     """The first review of every product against all its peers."""
@@ -949,7 +945,7 @@ def _three_scores(t: Tables) -> DataFrame:
         F.when(value < 150, numbers.clip(value, 0, 100)).alias("text_score"),
         F.when((value > 20) & (value < 200), numbers.clip(value / 2, 0, 100)).alias("behavior_score"),
         F.when(value > 60, numbers.clip(value / 3, 0, 100)).alias("network_score"),
-    ).withColumns({name: F.when(value < 190, F.col(name)) for name in ()})
+    )
 
 
 def sql_three(weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> str:
@@ -995,9 +991,6 @@ def m5(t: Tables) -> DataFrame:
     return meta.meta_score(_three_scores(t), meta.Weights(0.2, 0.2, 1.5)).select("review_id", r6("rti").alias("rti"))
 
 
-KOREAN = sql_rules  # the pipeline uses the fixed keyword list
-
-
 def _pipeline_input(t: Tables) -> DataFrame:
     """Reviews with probabilities and the behavior facts of the event that has the document's number."""
     facts = t.behavior_inputs().select(
@@ -1488,7 +1481,7 @@ def _run_stream(t: Tables) -> DataFrame:
     run = (
         jobs.follow_jobs(stream_events.decode_events(stream))
         .writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).start(f"{folder}/out")
+        .trigger(once=True).start(f"{folder}/out")
     )
     run.awaitTermination()
     return t.spark.read.parquet(f"{folder}/out")
