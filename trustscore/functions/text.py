@@ -12,8 +12,13 @@ from pyspark.sql.types import StringType
 
 from trustscore import constants as C
 
-# White space as the contract means it: Unicode white space plus the four separator controls.
-_SPACE = r"[\s\x1c-\x1f]"
+# White space as the contract means it: Unicode white space plus the four separator controls. Listed as
+# plain ranges, because property classes are looked up per character.
+_ODD_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"[ {_ODD_SPACES}]"
+# Matches only where collapsing changes something: single blanks, by far the most, are passed over.
+_COLLAPSIBLE = f"[{_ODD_SPACES}]{_SPACE}*| {_SPACE}+"
+_SPACE_CHARACTERS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 # Characters for which case folding (also after NFKC) is exactly lower-casing plus sharp s -> ss:
 # ASCII, Latin-1 letters, Hangul syllables, unified ideographs and a little punctuation.
@@ -49,13 +54,13 @@ def casefold(text: Column | str) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(_as_column(text), rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(_as_column(text), F.lit(_SPACE_CHARACTERS))
 
 
 def collapse_spaces(text: Column | str) -> Column:
     """Null becomes empty, inner white space becomes one blank, the ends are stripped; case is kept."""
     filled = F.coalesce(_as_column(text), F.lit(""))
-    return F.trim(F.regexp_replace(filled, rf"(?U){_SPACE}+", " "))
+    return F.trim(F.regexp_replace(filled, _COLLAPSIBLE, " "))
 
 
 def normalize_text(text: Column | str) -> Column:
@@ -70,7 +75,8 @@ def canonical_text(text: Column | str) -> Column:
 
 
 def is_blank(text: Column | str) -> Column:
-    return F.length(collapse_spaces(text)) == 0
+    """Null, empty or only white space; looks no further than the first other character."""
+    return ~F.coalesce(_as_column(text).rlike(f"[^ {_ODD_SPACES}]"), F.lit(False))
 
 
 def is_informative(canonical: Column | str) -> Column:

@@ -30,8 +30,8 @@ def _thrice(sentences: Column) -> Column:
     return F.exists(pairs, lambda same: same)
 
 
-def _sentences(content: Column) -> Column:
-    return F.transform(F.split(content, SENTENCE_BREAK), text.collapse_spaces)
+def _sentences(content: Column, clean=text.collapse_spaces) -> Column:
+    return F.transform(F.split(content, SENTENCE_BREAK), clean)
 
 
 def repetition_flags(rows: DataFrame, column: str = "review") -> DataFrame:
@@ -43,15 +43,16 @@ def repetition_flags(rows: DataFrame, column: str = "review") -> DataFrame:
     content = _text(column)
     # Splitting and folding commute with sentence breaks, so the whole text is folded once.
     return (
-        rows.withColumn("_blocks", token_repetition(text.collapse_spaces(content)))
-        .withColumn("_abnormal_sentence", _thrice(_sentences(text.collapse_spaces(content))))
+        rows.withColumn("_flat", text.collapse_spaces(content))
+        .withColumn("_blocks", token_repetition(F.col("_flat")))
+        .withColumn("_abnormal_sentence", _thrice(_sentences(F.col("_flat"), F.trim)))
         .withColumn("_folded", text.casefold(content))
         .withColumn("_clear_sentence", _thrice(_sentences(F.col("_folded"))))
         .withColumn(
             "abnormal_repetition", F.col("_abnormal_sentence") | F.col("_blocks.triple") | F.col("_blocks.covering")
         )
         .withColumn("clear_repetition", F.col("_clear_sentence") | F.col("_blocks.triple"))
-        .drop("_blocks", "_abnormal_sentence", "_folded", "_clear_sentence")
+        .drop("_flat", "_blocks", "_abnormal_sentence", "_folded", "_clear_sentence")
     )
 
 

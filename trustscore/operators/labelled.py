@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trustscore import constants as C
 from trustscore.functions import numbers, ranking, text
 from trustscore.operators.network_signal import text_key
+from trustscore.session import materialized
 
 
 class InsufficientData(ValueError):
@@ -101,13 +102,14 @@ def stratified_split(examples: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame
     """Add ``split``: per label 10 % validation and 10 % test, each at least one, the rest train.
 
     Rows are ordered by a digest of seed and normalised text, so the result does not depend on
-    partitioning. There are only two labels; ranks are taken per digest bucket, not per label.
+    partitioning. There are only two labels; ranks are taken per digest bucket, not per label. The
+    examples are written once, because class sizes, bucket counts and the rows themselves all need them.
     """
-    require_classes(examples)
-    keyed = examples.withColumn(
-        "order_key", F.md5(F.concat(F.lit(f"{seed}|"), text.normalize_text("text")))
+    keyed = materialized(
+        examples.withColumn("order_key", F.md5(F.concat(F.lit(f"{seed}|"), text.normalize_text("text")))), "examples"
     )
-    sizes = examples.groupBy("label").agg(F.count("*").alias("class_rows"))
+    require_classes(keyed)
+    sizes = keyed.groupBy("label").agg(F.count("*").alias("class_rows"))
     ranked = ranking.bucketed_rank(keyed, ["label"], ranking.hex_bucket("order_key"), ["order_key"])
     held = F.greatest(F.lit(1), numbers.round_whole(F.col("class_rows") * C.HELD_OUT_FRACTION))
     train = F.col("class_rows") - 2 * held

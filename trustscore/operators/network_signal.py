@@ -512,16 +512,24 @@ def network_signal(
 # --- N7, N8: other similarities -----------------------------------------------------------------
 
 
-def _adapter_signal(reviews: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """Join evidence to reviews and tell apart why a review has none."""
-    shared = (
-        reviews.filter(~text.is_blank("content")).groupBy("product_id").agg(F.count("*").alias("non_blank"))
+def _with_facts(reviews: DataFrame, key: str, keyed_text: Column) -> DataFrame:
+    """Key and text facts of every review, computed once and written without the texts."""
+    facts = reviews.withColumns(
+        {
+            key: text_key(keyed_text),
+            "is_blank": text.is_blank("content"),
+            "is_informative": text.is_informative(text.canonical_text("content")),
+        }
     )
+    return materialized(facts.drop("content"), "facts")
+
+
+def _adapter_signal(facts: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """Join evidence to reviews and tell apart why a review has none."""
+    shared = facts.groupBy("product_id").agg(F.count_if(~F.col("is_blank")).alias("non_blank"))
     own = F.when(F.col("is_blank"), 0).otherwise(1)
     joined = (
-        reviews.withColumn("is_blank", text.is_blank("content"))
-        .withColumn("is_informative", text.is_informative(text.canonical_text("content")))
-        .join(evidence, ["product_id", key], "left")
+        facts.join(evidence, ["product_id", key], "left")
         .join(shared, "product_id", "left")
         .withColumn("candidates", F.coalesce("non_blank", F.lit(0)) - own)
     )
@@ -543,9 +551,9 @@ def exact_match_signal(reviews: DataFrame) -> DataFrame:
     The evidence of a review follows from the size of its group alone, so this is two aggregations and
     no pairs. Informative texts are never blank, so no comparison is undefined.
     """
-    keyed = reviews.withColumn("match_key", text_key(text.normalize_text("content")))
+    facts = _with_facts(reviews, "match_key", text.normalize_text("content"))
     groups = (
-        keyed.filter(text.is_informative(text.canonical_text("content")))
+        facts.filter("is_informative")
         .groupBy("product_id", "match_key")
         .agg(F.count("*").alias("same"))
     )
@@ -563,7 +571,7 @@ def exact_match_signal(reviews: DataFrame) -> DataFrame:
             F.array_repeat(F.lit(1.0), ones.cast("int")), F.array_repeat(F.lit(0.0), (length - ones).cast("int"))
         ).alias("top"),
     )
-    return _adapter_signal(keyed, evidence, "match_key")
+    return _adapter_signal(facts, evidence, "match_key")
 
 
 def _user_block_worker(similarity: SimilarityFunction):
@@ -630,7 +638,9 @@ def user_similarity_signal(
     the function need not be symmetric; it must be deterministic, because equal contents are computed
     once. Tiles bound each task exactly as for the built-in similarity.
     """
-    keyed = reviews.withColumn("content_key", text_key(F.coalesce("content", F.lit(""))))
+    own_key = F.coalesce("content", F.lit(""))
+    facts = _with_facts(reviews, "content_key", own_key)
+    keyed = reviews.withColumn("content_key", text_key(own_key))
     contents = (
         keyed.filter(text.is_informative(text.canonical_text("content")))
         .groupBy("product_id", "content_key")
@@ -656,7 +666,7 @@ def user_similarity_signal(
     evidence = merge_evidence(partials.withColumnRenamed("content_key", "text_key")).withColumnRenamed(
         "text_key", "content_key"
     )
-    return _adapter_signal(keyed, evidence, "content_key")
+    return _adapter_signal(facts, evidence, "content_key")
 
 
 # --- N13: chosen targets ------------------------------------------------------------------------
@@ -666,33 +676,43 @@ def target_signal(reviews: DataFrame, targets: DataFrame) -> DataFrame:
     """Evidence for chosen (product_id, review_id) targets against their product's other reviews.
 
     Only targets are compared, so the work is linear in the product. Grams of the targets meet the grams
-    of the product in one equi-join and are aggregated per (target text, other text).
+    of the product in one equi-join and are aggregated per (target text, other text). Products without
+    a target are left out before any gram is made.
     """
+    concerned = reviews.join(targets.select("product_id").distinct(), "product_id", "left_semi")
+    reviews = materialized(with_canonical(concerned).drop("content"), "canonical")
     texts = distinct_texts(reviews)
     stats = product_stats(texts)
     grams = gram_counts(texts)
-    weighted = tfidf(weighted_grams(grams, gram_idf(grams, stats))).filter(
-        F.col("length") >= C.MIN_INFORMATIVE_CHARS
+    weighted = weighted_grams(grams.filter(F.col("length") >= C.MIN_INFORMATIVE_CHARS), gram_idf(grams, stats))
+    norms = weighted.groupBy("product_id", "text_key").agg(
+        F.sqrt(F.sum(F.col("raw_weight") * F.col("raw_weight"))).alias("norm")
     )
     wanted = (
-        with_canonical(reviews.join(targets.select("product_id", "review_id"), ["product_id", "review_id"], "left_semi"))
+        reviews.join(targets.select("product_id", "review_id"), ["product_id", "review_id"], "left_semi")
         .select("product_id", "review_id", "text_key", "row_no", F.length("canonical").alias("target_length"))
     )
     target_texts = wanted.select("product_id", "text_key").distinct()
     left = weighted.join(target_texts, ["product_id", "text_key"], "left_semi").select(
         "product_id", "term", F.col("text_key").alias("target_key"), F.col("length").alias("target_length"),
-        F.col("tf").alias("target_tf"), F.col("weight").alias("target_weight"),
+        F.col("tf").alias("target_tf"), F.col("raw_weight").alias("target_weight"),
     )
-    right = weighted.select("product_id", "term", "text_key", "copies", "length", "tf", "weight")
+    right = weighted.select("product_id", "term", "text_key", "copies", "length", "tf", "raw_weight")
     two = F.length("term") == 2
     similarity = (
         left.join(right, ["product_id", "term"])
         .filter(F.col("text_key") != F.col("target_key"))
         .groupBy("product_id", "target_key", "text_key", "copies", "length", "target_length")
         .agg(
-            F.sum(F.col("target_weight") * F.col("weight")).alias("cosine"),
+            F.sum(F.col("target_weight") * F.col("raw_weight")).alias("product"),
             F.sum(F.when(two, F.least("target_tf", "tf")).otherwise(0)).alias("overlap"),
         )
+        .join(norms, ["product_id", "text_key"])
+        .join(
+            norms.select("product_id", F.col("text_key").alias("target_key"), F.col("norm").alias("target_norm")),
+            ["product_id", "target_key"],
+        )
+        .withColumn("cosine", F.col("product") / (F.col("norm") * F.col("target_norm")))
         .withColumn(
             "similarity",
             C.COSINE_WEIGHT * numbers.clip(F.col("cosine"), 0.0, 1.0)

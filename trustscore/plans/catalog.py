@@ -1453,7 +1453,7 @@ PROGRESS_SQL = f"""{EVENTS_SQL}, steps as (select job, seq, count(*) filter (is_
 
 @query("W3_job_progress", f"with {PROGRESS_SQL} select job, seq, report.job_id as job_id, collected, report.target as target from steps")
 def w3(t: Tables) -> DataFrame:
-    return jobs.job_progress(stream_events.decode_events(t.job_events()))
+    return jobs.job_progress(jobs.decoded_once(t.job_events()))
 
 
 OUTCOME_SQL = f"""{EVENTS_SQL}, jobs_seen as (select distinct job from valid),
@@ -1468,7 +1468,7 @@ outcomes as (select j.job, coalesce(case when e.violation is null and e.event in
 
 @query("W4_job_outcomes", f"with {OUTCOME_SQL} select job, job_id, outcome, status, collected, detail from outcomes")
 def w4(t: Tables) -> DataFrame:
-    return jobs.job_outcomes(stream_events.decode_events(t.job_events()))
+    return jobs.job_outcomes(jobs.decoded_once(t.job_events()))
 
 
 def _run_stream(t: Tables) -> DataFrame:
@@ -1504,7 +1504,7 @@ def w3b(t: Tables) -> DataFrame:
 select job, count(*) as reviews, min('r' || seq) as first_review, max('r' || seq) as last_review, count(*) > 1 as compared from live join done_jobs using (job) where is_review group by 1""",
 )
 def w5(t: Tables) -> DataFrame:
-    decoded = stream_events.decode_events(t.job_events())
+    decoded = jobs.decoded_once(t.job_events())
     outcomes = jobs.job_outcomes(decoded)
     store = jobs.job_reviews(jobs._live_events(decoded))
     flat = jobs.analyze_completed(store, outcomes, analyze_flat)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trustscore import constants as C
 from trustscore.functions import ranking
+from trustscore.session import materialized
 from trustscore.streaming.events import decode_events, forwardable
 
 OUTCOME_COLUMNS = ("job", "job_id", "outcome", "status", "collected", "detail")
@@ -286,7 +287,12 @@ def completed_sink(
     return write
 
 
+def decoded_once(events: DataFrame) -> DataFrame:
+    """Stored events decoded once and written, for the several passes of the batch twins."""
+    return materialized(decode_events(events), "decoded")
+
+
 def replay(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(progress, outcomes) of a stored event table."""
-    decoded = decode_events(events)
+    decoded = decoded_once(events)
     return job_progress(decoded), job_outcomes(decoded)
