@@ -31,7 +31,6 @@ from trustscore.operators import (
 from trustscore.operators.reasons import codes
 from trustscore.plans.analysis import analyze_flat, analyze_reviews
 from trustscore.plans.views import Tables
-from trustscore.schemas import CRAWLED_REVIEW
 from trustscore.session import shared_folder
 from trustscore.sources import readers, writers
 from trustscore.streaming import events as stream_events
@@ -1506,7 +1505,7 @@ select job, count(*) as reviews, min('r' || seq) as first_review, max('r' || seq
 def w5(t: Tables) -> DataFrame:
     decoded = jobs.decoded_once(t.job_events())
     outcomes = jobs.job_outcomes(decoded)
-    store = jobs.job_reviews(jobs._live_events(decoded))
+    store = jobs.job_reviews(jobs.live_events(decoded))
     flat = jobs.analyze_completed(store, outcomes, analyze_flat)
     return flat.groupBy("job").agg(
         F.count("*").alias("reviews"), F.min("review_id").alias("first_review"), F.max("review_id").alias("last_review"),

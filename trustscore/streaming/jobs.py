@@ -44,7 +44,7 @@ def _terminal_events(decoded: DataFrame) -> DataFrame:
     )
 
 
-def _live_events(decoded: DataFrame) -> DataFrame:
+def live_events(decoded: DataFrame) -> DataFrame:
     """Events of a job up to its end; what arrives later is ignored."""
     ends = _terminal_events(decoded).select("job", "end_seq")
     return decoded.join(ends, "job", "left").filter(F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))
@@ -56,7 +56,7 @@ def job_progress(decoded: DataFrame) -> DataFrame:
     The running values are taken per bucket of ``seq`` and carried over buckets, so a job with very many
     events is not sorted in one task.
     """
-    events = _live_events(decoded).filter(F.col("review").isNotNull() | F.col("progress").isNotNull())
+    events = live_events(decoded).filter(F.col("review").isNotNull() | F.col("progress").isNotNull())
     rows = events.select(
         "job",
         "seq",
@@ -109,7 +109,7 @@ def outcome_of(kind: Column, retryable: Column, collected: Column) -> tuple[Colu
 def job_outcomes(decoded: DataFrame) -> DataFrame:
     """One row per job. Only ``done`` with at least one review is complete; no end means unavailable."""
     counted = (
-        _live_events(decoded)
+        live_events(decoded)
         .groupBy("job")
         .agg(
             F.count_if(F.col("review").isNotNull()).alias("collected"),
