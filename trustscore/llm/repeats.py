@@ -8,9 +8,9 @@ Windows repeated at one length alone are taken on to about twice that length:
 2. *Stretches.* An anchor that repeats is extended to everything its windows cover (up to twice the
    window less the anchor). A stretch that also stands in a document with a smaller id settles all its
    windows at once: that covers the inside of copies, one row for several windows.
-3. *Windows.* Only anchors that are left are cut into single windows; each goes if it also starts in a
-   document with a smaller id. The smallest document of any repeated stretch is never settled in step 2,
-   so every window keeps its witness here.
+3. *Windows.* Only anchors with several stretches, where not settled, are cut into single windows; each goes
+   if it also starts in a document with a smaller id. The smallest document of any stretch is never settled
+   in step 2, so every window keeps its witness here.
 
 Counts and minima are combined map-side, so a passage in a third of all documents is one row per task;
 joins back are plain equi-joins that AQE splits. Texts move once, compressed.
@@ -65,7 +65,7 @@ class _Anchors:
         new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(new)
         self.row = row[begin]
-        self.key = key[place[begin]]
+        self.key = (key[place[begin]] >> np.uint64(16)).astype(np.int64)
         self.start = starts[begin]
         self.windows = np.diff(np.append(begin, len(starts)))
         self.stop = self.start + self.windows - 1 + length
@@ -75,7 +75,8 @@ class _Anchors:
         return np.stack([rolled.windows(starts, ends) for rolled in self._rolled], axis=1)
 
     def stretches(self) -> np.ndarray:
-        return self.hashed(self.start, self.stop)
+        """(anchor key, hash of all words its windows cover): together they name a stretch."""
+        return np.stack([self.key.view(np.uint64), self._rolled[0].windows(self.start, self.stop)], axis=1)
 
     def single_windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, start, hash) of the windows of the chosen anchors."""
@@ -115,7 +116,7 @@ def _anchor_keys(length: int):
                 new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
                 counts = np.bincount(row[new], minlength=stop - start)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("d").slice(start, stop - start), list_array(_signed(key[new]), counts)],
+                    [batch.column("d").slice(start, stop - start), list_array(key[new], counts)],
                     names=["d", "keys"],
                 )
 
@@ -142,13 +143,16 @@ def _blocks(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def _long_lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.zeros(0, np.int64) if value is None else np.asarray(value, np.int64) for value in column.to_pylist()]
+def _long_lists(column: pa.ListArray) -> list[np.ndarray]:
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    present = column.is_valid().to_numpy(zero_copy_only=False)
+    none = np.zeros(0, np.int64)
+    return [values[a:b] if there else none for a, b, there in zip(offsets[:-1], offsets[1:], present)]
 
 
 def _hash_pairs(column: pa.Array) -> list[np.ndarray]:
     """Lists of 16-byte values from lists of longs that come in twos."""
-    return [_pairs(value.view(np.uint64).reshape(-1, 2)) for value in _long_lists(column)]
+    return [_pairs(np.ascontiguousarray(value, np.int64).view(np.uint64).reshape(-1, 2)) for value in _long_lists(column)]
 
 
 def _pair_lists(row: np.ndarray, values: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
@@ -166,23 +170,35 @@ def _pair_lists(row: np.ndarray, values: np.ndarray, rows: int) -> tuple[pa.Arra
     return list_array(_signed(joined[0]), counts), list_array(_signed(joined[1]), counts)
 
 
-def _candidates(length: int, settled: bool):
-    """Arrow function: stretches of repeated anchors or, once those are settled, the windows that are left."""
+def _stretch_lists(length: int):
+    """Arrow function: stretches of repeated anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _blocks(whole):
                 hits = _long_lists(batch.column("keys"))
-                done = _hash_pairs(batch.column("settled")) if settled else []
                 for start, stop, words in sliced_words(_unpacked(batch.column("packed"))):
                     anchors = _Anchors(words, length)
-                    live = _within(anchors.row, _signed(anchors.key), hits[start:stop])
-                    hashes = anchors.stretches()
-                    if settled:
-                        live &= ~_within(anchors.row, _pairs(hashes), done[start:stop])
-                        row, _, hashes = anchors.single_windows(np.flatnonzero(live))
-                    else:
-                        row, hashes = anchors.row[live], hashes[live]
+                    live = _within(anchors.row, anchors.key, hits[start:stop])
+                    first, second = _pair_lists(anchors.row[live], anchors.stretches()[live], stop - start)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("d").slice(start, stop - start), first, second], names=["d", "h1", "h2"]
+                    )
+
+    return run
+
+
+def _window_lists(length: int):
+    """Arrow function: single windows of the stretches that are still open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _blocks(whole):
+                undecided = _hash_pairs(batch.column("undecided"))
+                for start, stop, words in sliced_words(_unpacked(batch.column("packed"))):
+                    anchors = _Anchors(words, length)
+                    live = _within(anchors.row, _pairs(anchors.stretches()), undecided[start:stop])
+                    row, _, hashes = anchors.single_windows(np.flatnonzero(live))
                     first, second = _pair_lists(row, hashes, stop - start)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("d").slice(start, stop - start), first, second], names=["d", "h1", "h2"]
@@ -197,16 +213,13 @@ def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _blocks(whole):
-                hits, done, gone = (
-                    _long_lists(batch.column("keys")),
-                    _hash_pairs(batch.column("settled")),
-                    _hash_pairs(batch.column("repeated")),
-                )
+                done, undecided, gone = (_hash_pairs(batch.column(name)) for name in ("settled", "undecided", "repeated"))
                 for start, stop, words in sliced_words(_unpacked(batch.column("packed"))):
                     anchors = _Anchors(words, length)
-                    live = _within(anchors.row, _signed(anchors.key), hits[start:stop])
-                    over = live & _within(anchors.row, _pairs(anchors.stretches()), done[start:stop])
-                    row, at, hashes = anchors.single_windows(np.flatnonzero(live & ~over))
+                    stretches = _pairs(anchors.stretches())
+                    over = _within(anchors.row, stretches, done[start:stop])
+                    live = _within(anchors.row, stretches, undecided[start:stop])
+                    row, at, hashes = anchors.single_windows(np.flatnonzero(live))
                     single = at[_within(row, _pairs(hashes), gone[start:stop])]
                     change = np.zeros(len(words.hashes) + 1, dtype=np.int64)
                     np.add.at(change, anchors.start[over], 1)
@@ -236,16 +249,13 @@ def _removed(length: int):
     return run
 
 
-def _flat(name: str, order: Column | None = None) -> Column:
-    return F.flatten(F.collect_list(F.array("h1", "h2"))).alias(name)
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.select("d", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("d", "h.h1", "h.h2")
 
 
-def _seen_before(rows: DataFrame, name: str) -> DataFrame:
-    """Per document, the hashes (in twos) that also stand in a document with a smaller id."""
-    single = rows.select("d", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("d", "h.h1", "h.h2")
-    first = single.groupBy("h1", "h2").agg(F.min("d").alias("first"))
-    later = single.join(first, ["h1", "h2"]).where("first < d")
-    return later.groupBy("d").agg(_flat(name))
+def _two(condition: Column) -> Column:
+    """The pairs that meet a condition as one list of longs."""
+    return F.flatten(F.collect_list(F.when(condition, F.array("h1", "h2"))))
 
 
 def remove_repeats(documents: DataFrame, length: int = 13) -> DataFrame:
@@ -264,15 +274,26 @@ def remove_repeats(documents: DataFrame, length: int = 13) -> DataFrame:
     repeated = occurrences.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     hits = occurrences.join(repeated, "key").groupBy("d").agg(F.collect_list("key").alias("keys"))
     packed = rows.mapInArrow(_packed, "doc_id long, d long, packed binary")
-    marked = packed.join(hits, "d", "left")
     hashes = "d long, h1 array<long>, h2 array<long>"
-    # A document that shares no anchor has nothing to extend.
-    open_marked = packed.join(hits, "d")
-    settled = _seen_before(open_marked.mapInArrow(_candidates(length, False), hashes), "settled")
-    left = open_marked.join(settled, "d", "left")
-    singles = _seen_before(left.mapInArrow(_candidates(length, True), hashes), "repeated")
-    return (
-        marked.join(settled, "d", "left")
-        .join(singles, "d", "left")
-        .mapInArrow(_removed(length), "doc_id long, n_words long, n_removed long, kept_text string")
+
+    stretches = _exploded(packed.join(hits, "d").mapInArrow(_stretch_lists(length), hashes))
+    firsts = stretches.groupBy("h1", "h2").agg(F.min("d").alias("first"))
+    # An anchor with one stretch everywhere is decided by that stretch; only others need their windows compared.
+    several = firsts.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1", F.lit(True).alias("several"))
+    decided = F.col("first") < F.col("d")
+    state = (
+        stretches.join(firsts.join(several, "h1", "left"), ["h1", "h2"])
+        .where(decided | F.col("several"))
+        .groupBy("d")
+        .agg(_two(decided).alias("settled"), _two(~decided).alias("undecided"))
+    )
+    marked = packed.join(state, "d", "left")
+
+    windows = _exploded(marked.where(F.size("undecided") > 0).mapInArrow(_window_lists(length), hashes))
+    earliest = windows.groupBy("h1", "h2").agg(F.min("d").alias("first"))
+    repeats = (
+        windows.join(earliest, ["h1", "h2"]).where("first < d").groupBy("d").agg(_two(F.lit(True)).alias("repeated"))
+    )
+    return marked.join(repeats, "d", "left").mapInArrow(
+        _removed(length), "doc_id long, n_words long, n_removed long, kept_text string"
     )
