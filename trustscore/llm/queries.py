@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustscore.llm import repeats
+from trustscore.llm import bpe, recipes, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +57,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_simhash_near_dedup")
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op7_exact_dedup",
+    r"""
+    WITH n AS (
+        SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+    )
+    SELECT doc_id, min(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size,
+           doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
+    FROM n WINDOW g AS (PARTITION BY body)
+    """,
+)
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return recipes.exact_groups(table(spark, folder, "documents"))
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
