@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustscore.llm import bpe, recipes, repeats, simhash
+from trustscore.llm import bpe, chat, mixing, recipes, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,95 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op2_source_mixing",
+    r"""
+    WITH sized AS (
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+               CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+        FROM documents
+    ),
+    sources AS (
+        SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,
+               CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+        FROM sized GROUP BY source
+    ),
+    ordered AS (
+        SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS k FROM sources
+    ),
+    levels AS (
+        SELECT k, 2 * source_size / weight AS height,
+               1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER before, 0) AS words,
+               sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights
+        FROM ordered WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ),
+    level AS (SELECT words, weights FROM levels WHERE height >= words / weights ORDER BY k LIMIT 1),
+    targets AS (
+        SELECT source, source_size, CASE WHEN weight * words > 2 * source_size * weights
+                                         THEN 2 * source_size ELSE weight * words / weights END AS target
+        FROM sources, level
+    ),
+    cut AS (
+        SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+               coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id NULLS FIRST, size
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+        FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+           CAST(whole * size + greatest(0, least(size, round(target - whole * source_size) - earlier)) AS BIGINT) AS taken
+    FROM cut
+    """,
+)
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query(
+    "op10_chat_format",
+    r"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ),
+    e AS (
+        SELECT *, length(text) AS chars, length(role || text)
+               + length(role || text) - length(replace(replace(role || text, '<', ''), '[', '')) + 24 AS shown
+        FROM c
+    )
+    SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN chars ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                           FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(shown) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(probe).alias("text"),
+    )
+    chats = chat.format_chats(chat.events_of(said.unionByName(added)))
+    read = chats.select(
+        "conv_id",
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.read_loss(F.col("segments")).alias("loss"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
