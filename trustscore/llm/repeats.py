@@ -3,17 +3,19 @@
 Windows repeated at one length alone are taken on to about twice that length:
 
 1. *Anchors.* Every window of ``length`` words holds the same smallest-hash sequence of ``length // 2``
-   words, wherever it occurs. Only these anchors (about two in ``length // 2 + 3`` words) are counted
+   words, wherever it occurs. Only these anchors (about two in ``length // 2 + 3`` words) are compared
    over all documents; a window whose anchor occurs in one document alone cannot repeat.
 2. *Stretches.* An anchor that repeats is extended to everything its windows cover (up to twice the
    window less the anchor). A stretch that also stands in a document with a smaller id settles all its
-   windows at once: that covers the inside of copies, one row for several windows.
+   windows at once: that covers the inside of copies, one entry for several windows.
 3. *Windows.* Only anchors with several stretches, where not settled, are cut into single windows; each goes
    if it also starts in a document with a smaller id. The smallest document of any stretch is never settled
    in step 2, so every window keeps its witness here.
 
-Counts and minima are combined map-side, so a passage in a third of all documents is one row per task;
-joins back are plain equi-joins that AQE splits. Texts move once, compressed.
+Each level compares entries (key, content hash, document) in two places. A block of documents first settles what
+its own documents decide, so a passage in a third of all documents leaves one entry per block. The rest is packed
+per key range (sorted keys, compressed) and decided range by range; the number of ranges follows the size of the
+table. What is decided returns to its document. Texts move compressed, once to find the stretches and once to cut.
 
 Defined cases: null text has no words; a null doc_id counts as the largest id; rows that share a doc_id
 are judged each by its own text (they are no smaller than each other); texts shorter than ``length`` keep
@@ -27,12 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustscore.llm.words import RollingHash, Words, list_array, mix, repeat_ranges, sliced_words
+from trustscore.session import materialized
 
 LARGEST = (1 << 63) - 1
+KEY_BITS = 48
+BLOCK_ENTRIES = 500_000  # entries that a task holds before it settles and sends them
+RANGE_BYTES = 8_000_000  # bytes of text for each key range
+SETTLED, UNDECIDED = 0, 1
+PACKED = "p long, local boolean, level string, blob binary"
+DECIDED = "d long, keys array<long>, hashes array<long>, states array<tinyint>"
 
 
 class _Anchors:
@@ -65,27 +74,21 @@ class _Anchors:
         new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(new)
         self.row = row[begin]
-        self.key = (key[place[begin]] >> np.uint64(16)).astype(np.int64)
+        self.key = (key[place[begin]] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
         self.start = starts[begin]
         self.windows = np.diff(np.append(begin, len(starts)))
         self.stop = self.start + self.windows - 1 + length
 
-    def hashed(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """128-bit content hashes as an (n, 2) array."""
-        return np.stack([rolled.windows(starts, ends) for rolled in self._rolled], axis=1)
-
     def stretches(self) -> np.ndarray:
         """(anchor key, hash of all words its windows cover): together they name a stretch."""
         return np.stack([self.key.view(np.uint64), self._rolled[0].windows(self.start, self.stop)], axis=1)
 
     def single_windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, start, hash) of the windows of the chosen anchors."""
+        """(row, start, name) of the windows of the chosen anchors; two hashes name a window."""
         start = repeat_ranges(self.start[chosen], self.windows[chosen])
-        return np.repeat(self.row[chosen], self.windows[chosen]), start, self.hashed(start, start + self.length)
-
-
-def _signed(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values).view(np.int64)
+        first, second = (rolled.windows(start, start + self.length) for rolled in self._rolled)
+        names = np.stack([first >> np.uint64(64 - KEY_BITS), second], axis=1)
+        return np.repeat(self.row[chosen], self.windows[chosen]), start, names
 
 
 def _pairs(values: np.ndarray) -> np.ndarray:
@@ -103,24 +106,163 @@ def _within(row: np.ndarray, keys: np.ndarray, lists: list[np.ndarray]) -> np.nd
     return found
 
 
-def _anchor_keys(length: int):
-    """Arrow function: distinct anchor keys of each document."""
+def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Run number of each row of columns sorted together."""
+    new = np.zeros(len(sorted_columns[0]), dtype=np.int64)
+    for column in sorted_columns:
+        new[1:] |= column[1:] != column[:-1]
+    return np.cumsum(new)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, which compress well when neighbours are close."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+class Entries:
+    """Entries (key, content hash, document, mark) and their packed form."""
+
+    def __init__(self, keys: np.ndarray, hashes: np.ndarray, d: np.ndarray, marks: np.ndarray):
+        self.keys, self.hashes, self.d, self.marks = keys, hashes, d, marks
+
+    def __getitem__(self, chosen: np.ndarray | slice) -> "Entries":
+        return Entries(self.keys[chosen], self.hashes[chosen], self.d[chosen], self.marks[chosen])
+
+    def packed(self) -> bytes:
+        steps = np.diff(self.keys, prepend=0)
+        raw = _planes(steps) + _planes(self.hashes) + _planes(self.d) + self.marks.tobytes()
+        return zstandard.ZstdCompressor(level=1).compress(raw)
+
+    @staticmethod
+    def unpacked(blobs: list[bytes]) -> "Entries":
+        press, parts = zstandard.ZstdDecompressor(), [[], [], [], []]
+        for blob in blobs:
+            raw = np.frombuffer(press.decompress(blob), dtype=np.uint8)
+            count = len(raw) // 25
+            numbers = [
+                np.ascontiguousarray(raw[8 * count * i : 8 * count * (i + 1)].reshape(8, count).T).view(np.int64).ravel()
+                for i in range(3)
+            ]
+            for part, column in zip(parts, [np.cumsum(numbers[0]), numbers[1], numbers[2], raw[24 * count :].view(np.int8)]):
+                part.append(column)
+        return Entries(*[np.concatenate(part) for part in parts])
+
+    def by_document(self) -> pa.Table:
+        """Decided entries as one row per document."""
+        order = np.argsort(self.d, kind="stable")
+        d, counts = np.unique(self.d[order], return_counts=True)
+        return pa.table(
+            {
+                "d": pa.array(d),
+                "keys": list_array(self.keys[order], counts),
+                "hashes": list_array(self.hashes[order], counts),
+                "states": list_array(self.marks[order], counts),
+            }
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _settle(entries: Entries, level: str) -> tuple[np.ndarray, np.ndarray]:
+    """What entries sorted by (key, hash, document) decide among themselves.
+
+    Returns the state of each entry (-1: not decided here) and whether its key is known to go on. An entry with a
+    negative mark stands for a whole block that knows this already.
+    """
+    count = len(entries.keys)
+    state = np.full(count, -1, dtype=np.int8)
+    if not count:
+        return state, np.zeros(0, dtype=bool)
+    told = entries.marks < 0
+    by_key = _runs(entries.keys)
+    if level == "anchors":
+        spread = np.zeros(by_key[-1] + 1, dtype=bool)
+        np.logical_or.at(spread, by_key, told)
+        spread |= np.bincount(by_key) > 1
+        state[spread[by_key] & ~told] = UNDECIDED
+        return state, spread[by_key]
+    by_content = _runs(entries.keys, entries.hashes)
+    first = np.full(by_content[-1] + 1, LARGEST, dtype=np.int64)
+    np.minimum.at(first, by_content[~told], entries.d[~told])
+    settled = ~told & (first[by_content] < entries.d)
+    state[settled] = SETTLED
+    spread = np.zeros(by_key[-1] + 1, dtype=bool)
+    if level == "stretches":
+        np.logical_or.at(spread, by_key, told)
+        starts = np.concatenate([[True], by_content[1:] != by_content[:-1]])
+        spread |= np.bincount(by_key[starts & ~told], minlength=len(spread)) > 1
+        state[~settled & ~told & spread[by_key]] = UNDECIDED
+    return state, spread[by_key]
+
+
+def _send(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], level: str, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Settle a block and pack what it decides (for its documents) and what it asks (for the key ranges)."""
+    keys, hashes, d = (np.concatenate(column) for column in zip(*parts))
+    order = np.lexsort((d, hashes, keys))
+    keys, hashes, d = keys[order], hashes[order], d[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1]) | (d[1:] != d[:-1])])[: len(keys)]
+    block = Entries(keys[new], hashes[new], d[new], np.zeros(int(new.sum()), dtype=np.int8))
+    state, spread = _settle(block, level)
+    rows: list[tuple[int, bool, bytes]] = []
+    local = state >= 0
+    if local.any():
+        done = block[local]
+        done.marks = state[local]
+        rows.append((int(done.keys[0]) % ranges, True, done.packed()))
+    # A key that goes on is told once by the block, all others ask with their smallest document.
+    first_of_key = np.concatenate([[True], block.keys[1:] != block.keys[:-1]])[: len(block.keys)]
+    ask = block[(~local & ~spread) | (spread & first_of_key)]
+    ask.marks = -spread[(~local & ~spread) | (spread & first_of_key)].astype(np.int8)
+    place = (ask.keys * ranges) >> KEY_BITS if ranges < 1 << (63 - KEY_BITS) else (ask.keys >> 24) * ranges >> (KEY_BITS - 24)
+    bounds = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(place) else np.zeros(1, np.int64)
+    for start, stop in zip(bounds[:-1], bounds[1:]):
+        rows.append((int(place[start]), False, ask[start:stop].packed()))
+    if rows:
+        p, here, blobs = zip(*rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(p, pa.int64()), pa.array(here), pa.array([level] * len(rows)), pa.array(blobs, pa.binary())],
+            names=["p", "local", "level", "blob"],
+        )
+
+
+def _in_blocks(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], level: str, ranges: int):
+    parts, held = [], 0
+    for part in entries:
+        parts.append(part)
+        held += len(part[0])
+        if held >= BLOCK_ENTRIES:
+            yield from _send(parts, level, ranges)
+            parts, held = [], 0
+    if parts:
+        yield from _send(parts, level, ranges)
+
+
+def _decide(key: tuple, table: pa.Table) -> pa.Table:
+    """Arrow function of one key range (or of what blocks decided alone): decided entries by document."""
+    entries = Entries.unpacked(table.column("blob").to_pylist())
+    if not key[1].as_py():
+        order = np.lexsort((entries.d, entries.hashes, entries.keys))
+        entries = entries[order]
+        state, _ = _settle(entries, table.column("level")[0].as_py())
+        entries = entries[state >= 0]
+        entries.marks = state[state >= 0]
+    return entries.by_document()
+
+
+def _decided(packed: DataFrame) -> DataFrame:
+    """Decided entries of every document: ``d`` and three parallel lists."""
+    answers = packed.groupBy("p", "local").applyInArrow(_decide, DECIDED)
+    lists = [F.flatten(F.collect_list(name)).alias(name) for name in ("keys", "hashes", "states")]
+    return answers.repartition("d").groupBy("d").agg(*lists)
+
+
+def _anchor_entries(length: int, ranges: int):
+    def entries(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
+            ids = batch.column("d").to_numpy()
             for start, stop, words in sliced_words(batch.column("text")):
                 anchors = _Anchors(words, length)
-                order = np.lexsort((anchors.key, anchors.row))
-                row, key = anchors.row[order], anchors.key[order]
-                new = np.ones(len(row), dtype=bool)
-                new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-                counts = np.bincount(row[new], minlength=stop - start)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("d").slice(start, stop - start), list_array(key[new], counts)],
-                    names=["d", "keys"],
-                )
+                yield anchors.key, np.zeros(len(anchors.key), dtype=np.int64), ids[start:stop][anchors.row]
 
-    return run
+    return lambda batches: _in_blocks(entries(batches), "anchors", ranges)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,61 +292,43 @@ def _long_lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] if there else none for a, b, there in zip(offsets[:-1], offsets[1:], present)]
 
 
-def _hash_pairs(column: pa.Array) -> list[np.ndarray]:
-    """Lists of 16-byte values from lists of longs that come in twos."""
-    return [_pairs(np.ascontiguousarray(value, np.int64).view(np.uint64).reshape(-1, 2)) for value in _long_lists(column)]
-
-
-def _pair_lists(row: np.ndarray, values: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
-    """Distinct 16-byte values of each row as two parallel list columns."""
-    found = [[], []]
-    counts = np.zeros(rows, dtype=np.int64)
-    bounds = np.searchsorted(row, np.arange(rows + 1))
-    for number, (start, stop) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if stop > start:
-            distinct = np.unique(_pairs(values[start:stop]))
-            counts[number] = len(distinct)
-            found[0].append(distinct["a"])
-            found[1].append(distinct["b"])
-    joined = [np.concatenate(part) if part else np.zeros(0, np.uint64) for part in found]
-    return list_array(_signed(joined[0]), counts), list_array(_signed(joined[1]), counts)
-
+def _named(batch: pa.RecordBatch, prefix: str, wanted: int) -> list[np.ndarray]:
+    """Per row, the names decided with one state."""
+    columns = [_long_lists(batch.column(f"{prefix}_{name}")) for name in ("keys", "hashes", "states")]
+    found = []
+    for keys, hashes, states in zip(*columns):
+        chosen = states == wanted
+        found.append(_pairs(np.stack([keys[chosen], hashes[chosen]], axis=1).astype(np.int64).view(np.uint64)))
+    return found
 
-def _stretch_lists(length: int):
-    """Arrow function: stretches of repeated anchors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretch_entries(length: int, ranges: int):
+    def entries(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
             for batch in _blocks(whole):
-                hits = _long_lists(batch.column("keys"))
+                hits, ids = _long_lists(batch.column("keys")), batch.column("d").to_numpy()
                 for start, stop, words in sliced_words(_unpacked(batch.column("packed"))):
                     anchors = _Anchors(words, length)
                     live = _within(anchors.row, anchors.key, hits[start:stop])
-                    first, second = _pair_lists(anchors.row[live], anchors.stretches()[live], stop - start)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("d").slice(start, stop - start), first, second], names=["d", "h1", "h2"]
-                    )
-
-    return run
+                    names = anchors.stretches()[live].view(np.int64)
+                    yield names[:, 0], names[:, 1], ids[start:stop][anchors.row[live]]
 
+    return lambda batches: _in_blocks(entries(batches), "stretches", ranges)
 
-def _window_lists(length: int):
-    """Arrow function: single windows of the stretches that are still open."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_entries(length: int, ranges: int):
+    def entries(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
             for batch in _blocks(whole):
-                undecided = _hash_pairs(batch.column("undecided"))
+                undecided, ids = _named(batch, "stretch", UNDECIDED), batch.column("d").to_numpy()
                 for start, stop, words in sliced_words(_unpacked(batch.column("packed"))):
                     anchors = _Anchors(words, length)
                     live = _within(anchors.row, _pairs(anchors.stretches()), undecided[start:stop])
-                    row, _, hashes = anchors.single_windows(np.flatnonzero(live))
-                    first, second = _pair_lists(row, hashes, stop - start)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("d").slice(start, stop - start), first, second], names=["d", "h1", "h2"]
-                    )
+                    row, _, names = anchors.single_windows(np.flatnonzero(live))
+                    names = names.view(np.int64)
+                    yield names[:, 0], names[:, 1], ids[start:stop][row]
 
-    return run
+    return lambda batches: _in_blocks(entries(batches), "windows", ranges)
 
 
 def _removed(length: int):
@@ -213,7 +337,8 @@ def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _blocks(whole):
-                done, undecided, gone = (_hash_pairs(batch.column(name)) for name in ("settled", "undecided", "repeated"))
+                done, undecided = (_named(batch, "stretch", state) for state in (SETTLED, UNDECIDED))
+                gone = _named(batch, "window", SETTLED)
                 for start, stop, words in sliced_words(_unpacked(batch.column("packed"))):
                     anchors = _Anchors(words, length)
                     stretches = _pairs(anchors.stretches())
@@ -249,15 +374,6 @@ def _removed(length: int):
     return run
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.select("d", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("d", "h.h1", "h.h2")
-
-
-def _two(condition: Column) -> Column:
-    """The pairs that meet a condition as one list of longs."""
-    return F.flatten(F.collect_list(F.when(condition, F.array("h1", "h2"))))
-
-
 def remove_repeats(documents: DataFrame, length: int = 13) -> DataFrame:
     """Drop every word covered by a window of ``length`` words that also starts in a document with a smaller id.
 
@@ -266,34 +382,19 @@ def remove_repeats(documents: DataFrame, length: int = 13) -> DataFrame:
     if length < 4:
         raise ValueError("windows must have at least four words")
     rows = documents.select("doc_id", F.coalesce("doc_id", F.lit(LARGEST)).alias("d"), "text")
-    occurrences = (
-        rows.select("d", "text")
-        .mapInArrow(_anchor_keys(length), "d long, keys array<long>")
-        .select("d", F.explode("keys").alias("key"))
-    )
-    repeated = occurrences.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    hits = occurrences.join(repeated, "key").groupBy("d").agg(F.collect_list("key").alias("keys"))
-    packed = rows.mapInArrow(_packed, "doc_id long, d long, packed binary")
-    hashes = "d long, h1 array<long>, h2 array<long>"
-
-    stretches = _exploded(packed.join(hits, "d").mapInArrow(_stretch_lists(length), hashes))
-    firsts = stretches.groupBy("h1", "h2").agg(F.min("d").alias("first"))
-    # An anchor with one stretch everywhere is decided by that stretch; only others need their windows compared.
-    several = firsts.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1", F.lit(True).alias("several"))
-    decided = F.col("first") < F.col("d")
-    state = (
-        stretches.join(firsts.join(several, "h1", "left"), ["h1", "h2"])
-        .where(decided | F.col("several"))
-        .groupBy("d")
-        .agg(_two(decided).alias("settled"), _two(~decided).alias("undecided"))
-    )
-    marked = packed.join(state, "d", "left")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-size // RANGE_BYTES))
 
-    windows = _exploded(marked.where(F.size("undecided") > 0).mapInArrow(_window_lists(length), hashes))
-    earliest = windows.groupBy("h1", "h2").agg(F.min("d").alias("first"))
-    repeats = (
-        windows.join(earliest, ["h1", "h2"]).where("first < d").groupBy("d").agg(_two(F.lit(True)).alias("repeated"))
+    def renamed(decided: DataFrame, prefix: str) -> DataFrame:
+        return decided.select("d", *[F.col(name).alias(f"{prefix}_{name}") for name in ("keys", "hashes", "states")])
+
+    hits = _decided(rows.select("d", "text").mapInArrow(_anchor_entries(length, ranges), PACKED)).select("d", "keys")
+    packed = rows.mapInArrow(_packed, "doc_id long, d long, packed binary")
+    stretches = packed.join(hits, "d").mapInArrow(_stretch_entries(length, ranges), PACKED)
+    marked = packed.join(materialized(renamed(_decided(stretches), "stretch"), "stretches"), "d", "left")
+    windows = marked.where(F.array_contains("stretch_states", F.lit(UNDECIDED).cast("tinyint"))).mapInArrow(
+        _window_entries(length, ranges), PACKED
     )
-    return marked.join(repeats, "d", "left").mapInArrow(
+    return marked.join(renamed(_decided(windows), "window"), "d", "left").mapInArrow(
         _removed(length), "doc_id long, n_words long, n_removed long, kept_text string"
     )
