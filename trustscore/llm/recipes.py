@@ -117,11 +117,17 @@ def _groups(numbered: DataFrame) -> DataFrame:
     chunks = rows.select("_row", F.posexplode(F.arrays_zip("names", "digests")).alias("at", "chunk")).select(
         "_row", "at", F.col("chunk.names").alias("name"), F.col("chunk.digests").alias("digest")
     )
-    # One digest per name is the rule; a second one would make a second variant of the name.
-    verified = chunks.groupBy("name").agg(F.sort_array(F.collect_set("digest")).alias("variants"))
-    entry = F.struct("at", "name", F.expr("array_position(variants, digest)").alias("variant"))
+    # One digest per name is the rule, variant 1; only names with more digests are joined back.
+    several = materialized(
+        chunks.groupBy("name")
+        .agg(F.sort_array(F.collect_set("digest")).alias("variants"))
+        .where(F.size("variants") > 1),
+        "variants",
+    )
+    variant = F.coalesce(F.expr("array_position(variants, digest)"), F.lit(1).cast("long")).alias("variant")
+    entry = F.struct("at", "name", variant)
     lists = (
-        chunks.join(verified, "name")
+        chunks.join(several, "name", "left")
         .groupBy("_row")
         .agg(F.sort_array(F.collect_list(entry)).alias("recipe"))
         .select("_row", F.expr("transform(recipe, e -> struct(e.name, e.variant))").alias("recipe"))
