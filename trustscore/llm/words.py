@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2_000_000
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     """All words of consecutive texts; ``offsets`` are relative to ``data``."""
-    solid = ~_SPACE[data]
+    solid = ~SPACE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     begins = solid.copy()
