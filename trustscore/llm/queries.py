@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustscore.llm import bpe, chat, mixing, quality, recipes, repeats, simhash
+from trustscore.llm import bpe, chat, html_templates, mixing, quality, recipes, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +189,9 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    texts = html_templates.extract(table(spark, folder, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
