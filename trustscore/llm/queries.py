@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustscore.llm import bpe, chat, html_templates, mixing, quality, recipes, repeats, simhash
+from trustscore.llm import bpe, chat, html_templates, mixing, personal_data, quality, recipes, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +195,26 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     texts = html_templates.extract(table(spark, folder, "pages"))
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find(table(spark, folder, "documents"))
+    order = F.array(*map(F.lit, personal_data.KINDS))
+
+    def listed(spans: Column) -> Column:
+        ranked = F.transform(
+            spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("k"), s.alias("s"))
+        )
+        shown = F.transform(F.array_sort(ranked), lambda r: F.concat_ws(":", r["s"]["kind"], r["s"]["start"], r["s"]["end"]))
+        return F.array_join(shown, ",")
+
+    return found.select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.concat("base", "added")).alias("spans"),
+    )
