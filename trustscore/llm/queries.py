@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustscore.llm import bpe, chat, html_templates, mixing, personal_data, quality, recipes, repeats, simhash
+from trustscore.llm import (
+    bpe,
+    chat,
+    html_templates,
+    mixing,
+    personal_data,
+    quality,
+    recipes,
+    repeats,
+    simhash,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +229,8 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.concat("base", "added")).alias("spans"),
     )
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
