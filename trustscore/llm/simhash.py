@@ -148,3 +148,20 @@ def near_groups(documents: DataFrame) -> DataFrame:
     least = classes.join(roots, "fp").groupBy("root").agg(F.min("d").alias("component_id"))
     by_print = roots.join(least, "root").select("fp", F.nullif("component_id", F.lit(LARGEST)).alias("component_id"))
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(documents: DataFrame) -> DataFrame:
+    """One row of each group, that with the smallest doc_id, with all its columns."""
+    names = documents.columns
+    place = {name: f"c{i}" for i, name in enumerate(names)}
+    held = materialized(
+        documents.toDF(*place.values()).withColumn("_row", F.monotonically_increasing_id()), "numbered"
+    )
+    texts = held.select(F.col("_row").alias("doc_id"), F.col(place["text"]).alias("text"))
+    prints = materialized(texts.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash").withColumnRenamed("doc_id", "_row")
+    ids = held.select("_row", F.coalesce(place["doc_id"], F.lit(LARGEST)).alias("d"))
+    first = F.min(F.struct("d", "_row")).alias("first")
+    # Fingerprints first: copies of one text are one row before they meet their group.
+    classes = prints.join(ids, "_row").groupBy("fp").agg(first)
+    stays = classes.join(linked(prints), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first._row")
+    return held.join(stays, "_row", "left_semi").select(*place.values()).toDF(*names)
