@@ -178,16 +178,14 @@ def cutoffs(
     labelled: DataFrame, false_rejection: float = 0.02, risk: float = 0.05
 ) -> DataFrame:
     """Cutoffs per stratum from rows of ``stratum, good`` and ``_measures``: one column per rule, null where off."""
+
+    def passed(rule: str, value: Column) -> Column:
+        """How many cutoffs, lenient first, the value is above."""
+        return F.size(F.filter(F.array(*map(F.lit, RULES[rule])), lambda cutoff: value > cutoff))
+
     values = rule_values(F.col("_measures"))
     spread = F.array(
-        *[
-            F.struct(
-                F.lit(rule).alias("rule"),
-                # How many cutoffs, lenient first, the value is above.
-                F.size(F.filter(F.array(*map(F.lit, RULES[rule])), lambda c, v=value: v > c)).alias("passed"),
-            )
-            for rule, value in values.items()
-        ]
+        *[F.struct(F.lit(rule).alias("rule"), passed(rule, value).alias("passed")) for rule, value in values.items()]
     )
     counted = (
         labelled.where(~base_failed(F.col("_measures")))
