@@ -180,7 +180,7 @@ def cutoffs(
     """Cutoffs per stratum from rows of ``stratum, good`` and ``_measures``: one column per rule, null where off."""
 
     def passed(rule: str, value: Column) -> Column:
-        """How many cutoffs, lenient first, the value is above."""
+        """How many cutoffs the value is above."""
         return F.size(F.filter(F.array(*map(F.lit, RULES[rule])), lambda cutoff: value > cutoff))
 
     values = rule_values(F.col("_measures"))
@@ -205,8 +205,8 @@ def cutoffs(
             good, bad = np.zeros(len(grid) + 1, dtype=np.int64), np.zeros(len(grid) + 1, dtype=np.int64)
             np.add.at(good, own["passed"], own["good"])
             np.add.at(bad, own["passed"], own["bad"])
-            # Cutoff i rejects what is above it and all more lenient ones.
-            rejected_good, rejected_bad = (counts[::-1].cumsum()[::-1][1:] for counts in (good, bad))
+            # A value above n cutoffs is above the n strictest: cutoff i rejects what is above len(grid) - i or more.
+            rejected_good, rejected_bad = (counts[::-1].cumsum()[:-1] for counts in (good, bad))
             index = choose_cutoff(rejected_good, rejected_bad, int(good.sum()), limit, level)
             picked[rule] = None if index is None else float(grid[index])
         return pd.DataFrame([{"stratum": key[0], **picked}])
