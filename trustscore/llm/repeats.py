@@ -32,16 +32,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustscore.llm.words import RollingHash, Words, list_array, mix, repeat_ranges, sliced_words
+from trustscore.llm.words import RollingHash, Words, mix, repeat_ranges, sliced_words
 from trustscore.session import materialized
 
 LARGEST = (1 << 63) - 1
 KEY_BITS = 48
 BLOCK_ENTRIES = 500_000  # entries that a task holds before it settles and sends them
-RANGE_BYTES = 8_000_000  # bytes of text for each key range
+RANGE_BYTES = 2_000_000  # bytes of text for each key range
 SETTLED, UNDECIDED = 0, 1
 PACKED = "p long, local boolean, level string, blob binary"
-DECIDED = "d long, keys array<long>, hashes array<long>, states array<tinyint>"
+DECIDED = "d long, key long, hash long, state tinyint"
 
 
 class _Anchors:
@@ -147,18 +147,8 @@ class Entries:
                 part.append(column)
         return Entries(*[np.concatenate(part) for part in parts])
 
-    def by_document(self) -> pa.Table:
-        """Decided entries as one row per document."""
-        order = np.argsort(self.d, kind="stable")
-        d, counts = np.unique(self.d[order], return_counts=True)
-        return pa.table(
-            {
-                "d": pa.array(d),
-                "keys": list_array(self.keys[order], counts),
-                "hashes": list_array(self.hashes[order], counts),
-                "states": list_array(self.marks[order], counts),
-            }
-        )
+    def table(self) -> pa.Table:
+        return pa.table({"d": self.d, "key": self.keys, "hash": self.hashes, "state": self.marks})
 
 
 def _settle(entries: Entries, level: str) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +226,7 @@ def _in_blocks(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], lev
 
 
 def _decide(key: tuple, table: pa.Table) -> pa.Table:
-    """Arrow function of one key range (or of what blocks decided alone): decided entries by document."""
+    """Arrow function of one key range (or of what blocks decided alone): its decided entries."""
     entries = Entries.unpacked(table.column("blob").to_pylist())
     if not key[1].as_py():
         order = np.lexsort((entries.d, entries.hashes, entries.keys))
@@ -244,13 +234,13 @@ def _decide(key: tuple, table: pa.Table) -> pa.Table:
         state, _ = _settle(entries, table.column("level")[0].as_py())
         entries = entries[state >= 0]
         entries.marks = state[state >= 0]
-    return entries.by_document()
+    return entries.table()
 
 
 def _decided(packed: DataFrame) -> DataFrame:
     """Decided entries of every document: ``d`` and three parallel lists."""
     answers = packed.groupBy("p", "local").applyInArrow(_decide, DECIDED)
-    lists = [F.flatten(F.collect_list(name)).alias(name) for name in ("keys", "hashes", "states")]
+    lists = [F.collect_list(name).alias(lists) for name, lists in (("key", "keys"), ("hash", "hashes"), ("state", "states"))]
     return answers.repartition("d").groupBy("d").agg(*lists)
 
 
