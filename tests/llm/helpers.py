@@ -35,11 +35,11 @@ def corpus(seed: int = 5, count: int = 60) -> list[tuple]:
             near = words(rows[-2][1])
             near[draw.randrange(len(near))] = "changed"
             text = " ".join(near)
-        rows.append((number * 3 % 61, text, draw.choice(["en", "de", None]), draw.choice(["a", "b", "Z", None]), len(text)))
-    rows.append((100, None, None, None, None))
-    rows.append((101, "", "en", "a", 0))
-    rows.append((102, " \t\n ", "en", "b", 4))
-    rows.append((103, "one two", "en", "a", 7))
-    rows.append((104, " ".join(draw.choices(vocabulary, k=6000)) + " " + passages[0], "en", "a", 0))
-    rows.append((105, "\x1c x  y ", "en", "c", 7))
+        rows.append((number * 37 % 1009, text, draw.choice(["en", "de", None]), draw.choice(["a", "b", "Z", None]), len(text)))
+    rows.append((5000, None, None, None, None))
+    rows.append((5001, "", "en", "a", 0))
+    rows.append((5002, " \t\n ", "en", "b", 4))
+    rows.append((5003, "one two", "en", "a", 7))
+    rows.append((5004, " ".join(draw.choices(vocabulary, k=6000)) + " " + passages[0], "en", "a", 0))
+    rows.append((5005, "\x1c x  y ", "en", "c", 7))
     return rows
