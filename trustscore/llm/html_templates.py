@@ -79,6 +79,7 @@ class Node:
     names: str = ""
     role: str = ""
     hidden: bool = False
+    opened: int = 0  # where its content begins
     end: int = -1
     parts: list = field(default_factory=list)  # text pieces and child nodes
 
@@ -129,7 +130,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if found is not None:
                 close(found, match.start())
-        node = Node(tag, match.start(), here)
+        node = Node(tag, match.start(), here, opened=match.end())
         attributes = match.group(3)
         if attributes and not attributes.isspace():
             for name, *values in _ATTRIBUTE.findall(attributes):
@@ -155,11 +156,12 @@ def parse(page: str) -> Node:
 
 
 def nodes(root: Node) -> Iterator[Node]:
+    """All nodes in page order."""
     stack = [root]
     while stack:
         node = stack.pop()
         yield node
-        stack.extend(part for part in node.parts if isinstance(part, Node))
+        stack.extend(part for part in reversed(node.parts) if isinstance(part, Node))
 
 
 def _unwanted(node: Node) -> bool:
@@ -173,9 +175,20 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
-def name_of(host: str, page: str, node: Node) -> int:
-    """Name of a subtree on its host: a hash of its markup with white space evened out."""
-    return xxhash.xxh64_intdigest(f"{host}\n{' '.join(page[node.start : node.end].split())}".encode("utf-8", "surrogatepass"))
+def subtree_names(host: str, page: str, root: Node) -> dict[int, int]:
+    """Name of every subtree on its host: a hash of its tag, its text with white space evened out, and its children."""
+    digests: dict[int, bytes] = {}
+    for node in reversed(list(nodes(root))):  # children come before their parents
+        tree = xxhash.xxh3_128(_flat(page[node.start : node.opened] if node is not root else host))
+        raw = page[node.opened : node.end] if node.tag in RAW else ""
+        for part in node.parts if not raw else (raw,):
+            tree.update(b"\0" + (_flat(part) if isinstance(part, str) else digests[id(part)]))
+        digests[id(node)] = tree.digest()
+    return {number: xxhash.xxh64_intdigest(_flat(host) + b"\n" + digest) for number, digest in digests.items()}
+
+
+def _flat(piece: str) -> bytes:
+    return " ".join(piece.split()).encode("utf-8", "surrogatepass")
 
 
 class Page:
@@ -186,15 +199,9 @@ class Page:
         self.root = parse(page)
         self.dropped: set[int] = set()
         mains: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
-        holders: set[int] = set()  # nodes around an article or main
+        holders = self._holders()
         stack = [(self.root, False)]
         self.candidates: list[Node] = []
-        for node in nodes(self.root):
-            if node.tag in ("article", "main") or node.role == "main":
-                parent = node.parent
-                while parent is not None and id(parent) not in holders:
-                    holders.add(id(parent))
-                    parent = parent.parent
         while stack:
             node, inside = stack.pop()
             if node is not self.root:
@@ -210,10 +217,23 @@ class Page:
                     inside = inside or kind == "article"
             stack.extend((part, inside) for part in reversed(node.parts) if isinstance(part, Node))
         self.main = mains["article"] or mains["main"][:1] or mains["body"][:1] or [self.root]
-        self.names = {id(node): name_of(self.host, page, node) for node in self.candidates if node.end > node.start}
+        names = subtree_names(self.host, page, self.root)
+        self.names = {id(node): names[id(node)] for node in self.candidates}
         if templates:
             self.dropped |= {number for number, name in self.names.items() if name in templates and number not in holders}
 
+    def _holders(self) -> set[int]:
+        """The nodes around the first article (or main) that is not in a menu, sidebar or the like by its tag."""
+        for node in nodes(self.root):
+            if node.tag in ("article", "main") or node.role == "main":
+                around, parent = [], node.parent
+                while parent is not None and parent.tag not in DROPPED_TAGS and parent.role not in DROPPED_ROLES:
+                    around.append(id(parent))
+                    parent = parent.parent
+                if parent is None:
+                    return set(around)
+        return set()
+
     def text(self) -> str:
         """Blocks of the main text, decoded and joined by an empty line."""
         blocks: list[str] = []
