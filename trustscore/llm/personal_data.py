@@ -32,6 +32,7 @@ ROUNDS = 10
 DAMPING = 0.5
 CLAMP = 8.0
 CHAIN, SKIP = 0, 1
+LIMITS = {"chain": 1.5, "skip": 3.0}
 
 _CANDIDATE = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,8 +196,11 @@ class Field:
 
     @classmethod
     def fitted(cls, rows: list[tuple[str, int, int, str, int]], rounds: int = 400, rate: float = 1.0, decay: float = 1e-3):
-        """Softmax weights by gradient descent on the counts; potentials as clipped mutual information."""
-        pairs = {kind: np.ones((LABELS, LABELS)) for kind in ("chain", "skip")}
+        """Softmax weights by gradient descent on the counts; potentials as clipped mutual information.
+
+        Before any count, neighbours are independent and repeats agree.
+        """
+        pairs = {"chain": np.full((LABELS, LABELS), 20.0), "skip": 1.0 + 49.0 * np.eye(LABELS)}
         table: dict[str, np.ndarray] = {}
         for what, a, b, features, n in sorted(rows):
             if what == "node":
@@ -219,7 +223,7 @@ class Field:
         for kind in ("chain", "skip"):
             joint = pairs[kind] / pairs[kind].sum()
             alone = joint.sum(axis=1)
-            shared.append(np.clip(np.log(joint / np.outer(alone, alone)), -3, 3))
+            shared.append(np.clip(np.log(joint / np.outer(alone, alone)), -LIMITS[kind], LIMITS[kind]))
         return cls(weights, *shared)
 
     def unary(self, features: list[tuple[int, ...]]) -> np.ndarray:
