@@ -364,10 +364,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Networ
     windows, marks = picked.column("window").to_pylist(), np.array(picked.column("toxic").to_pylist(), dtype=np.float32)
     order = sorted(range(len(windows)), key=lambda i: (marks[i], windows[i]))
     network = train([windows[i] for i in order], marks[order])
-    scored = (
-        rows.select("text", "toxic").mapInArrow(_scored(network, "toxic"), "toxic int, logit double").orderBy("logit", "toxic").toArrow()
-    )
-    network.scale = _platt(np.array(scored.column("logit")), np.array(scored.column("toxic"), dtype=float))
+    scored = rows.select("text", "toxic").mapInArrow(_scored(network, "toxic"), "toxic int, logit double").toArrow()
+    logits, marks = np.array(scored.column("logit")), np.array(scored.column("toxic"), dtype=float)
+    order = np.lexsort((marks, logits))
+    network.scale = _platt(logits[order], marks[order])
     return network
 
 
