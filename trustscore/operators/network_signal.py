@@ -6,9 +6,9 @@ definition. The plan keeps it bounded per task and never materialises pairs:
 1. equal canonical texts collapse to one row with a multiplicity, so a flood of copies costs one row;
 2. gram counts, document frequencies and weights are ordinary aggregations and one equi-join;
 3. the texts of a product are spread over tiles of bounded size, and every unordered pair of tiles is
-   one independent group. A group computes its similarity block with matrix products and returns one
-   partial evidence row per text (count, sum, three largest), never pairs. A product holding a third
-   of all reviews becomes many tile pairs instead of one large group;
+   one independent group. A group computes its similarity block strip by strip from the grams that texts
+   share and returns one partial evidence row per text (count, sum, three largest), never pairs. A product
+   holding a third of all reviews becomes many tile pairs instead of one large group;
 4. partial evidence is merged per text and joined back to the reviews.
 """
 
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustscore import constants as C
@@ -30,7 +30,9 @@ from trustscore.operators.reasons import no_reasons, reason, reasons
 from trustscore.session import materialized
 
 TILE_CHARACTERS = 400_000  # canonical characters per tile; about three gram entries each
-BLOCK_CELLS = 4_000_000  # dense cells held at once while multiplying a block
+TILE_TEXTS = 4_000  # texts per tile
+STRIP_CELLS = 2_000_000  # cells of a block held at once, and products expanded at once
+DENSE_RATIO = 60  # a product by postings costs about as much as so many dense multiplications
 
 SimilarityFunction = Callable[[pd.Series, pd.Series], pd.Series]
 
@@ -97,6 +99,7 @@ def product_stats(texts: DataFrame, tile_characters: int = TILE_CHARACTERS) -> D
         F.greatest(
             F.lit(1),
             F.ceil(F.sum(F.when(informative, F.col("length")).otherwise(0)) / F.lit(float(tile_characters))),
+            F.ceil(F.count_if(informative) / F.lit(float(TILE_TEXTS))),
         )
         .cast("int")
         .alias("tiles"),
@@ -133,7 +136,7 @@ def tfidf(weighted: DataFrame) -> DataFrame:
 # --- tiles --------------------------------------------------------------------------------------
 
 TILE_SCHEMA = (
-    "product_id string, tile int, keys array<binary>, copies array<bigint>, lengths array<int>, "
+    "product_id string, tile int, keys array<binary>, copies array<bigint>, lengths array<int>, wanted array<boolean>, "
     "sizes array<int>, codes array<int>, tfs array<int>, terms array<string>, term_copies array<bigint>"
 )
 
@@ -168,6 +171,7 @@ def _pack_tile(table: pa.Table) -> pa.Table:
             "keys": _as_list(table["text_key"].combine_chunks(), pa.binary()),
             "copies": _as_list(copies, pa.int64()),
             "lengths": _as_list(lengths, pa.int32()),
+            "wanted": _as_list(table["wanted"].combine_chunks(), pa.bool_()),
             "sizes": _as_list(np.bincount(rows, minlength=len(texts)), pa.int32()),
             "codes": _as_list(codes[order], pa.int32()),
             "tfs": _as_list(counts[order], pa.int32()),
@@ -182,17 +186,31 @@ def tile_of(key: Column, tiles: Column) -> Column:
 
 
 def gram_tiles(texts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Texts spread over the tiles of their product, one packed row per tile."""
+    """Informative texts spread over the tiles of their product, one packed row per tile, written once.
+
+    ``wanted`` marks the texts whose evidence is asked for; without that column it is all of them.
+    """
+    wanted = F.col("wanted") if "wanted" in texts.columns else F.lit(True).alias("wanted")
     placed = (
-        texts.filter(F.col("length") >= min(C.NGRAM_SIZES))
+        texts.filter(F.col("length") >= C.MIN_INFORMATIVE_CHARS)
         .join(stats.select("product_id", "tiles"), "product_id")
         .withColumn("tile", tile_of(F.col("text_key"), F.col("tiles")))
-        .select("product_id", "tile", "text_key", "canonical", "copies", "length")
+        .select("product_id", "tile", "text_key", "canonical", "copies", "length", wanted)
+    )
+    packed = _spread(placed, "product_id", "tile").groupBy("product_id", "tile").applyInArrow(_pack_tile, TILE_SCHEMA)
+    return materialized(packed, "tiles")
+
+
+def short_frequencies(texts: DataFrame) -> DataFrame:
+    """Document frequencies of texts too short to be compared: they shift the idf and nothing else."""
+    return (
+        gram_counts(texts.filter(F.col("length") < C.MIN_INFORMATIVE_CHARS))
+        .groupBy("product_id", "term")
+        .agg(F.sum("copies").alias("df"))
     )
-    return _spread(placed, "product_id", "tile").groupBy("product_id", "tile").applyInArrow(_pack_tile, TILE_SCHEMA)
 
 
-def weighted_tiles(tiles: DataFrame, stats: DataFrame) -> DataFrame:
+def weighted_tiles(tiles: DataFrame, stats: DataFrame, texts: DataFrame) -> DataFrame:
     """Attach to every tile the idf of its vocabulary, fitted over the whole product.
 
     Document frequencies are summed from tile vocabularies, so the shuffled rows are distinct grams per
@@ -202,7 +220,9 @@ def weighted_tiles(tiles: DataFrame, stats: DataFrame) -> DataFrame:
         "product_id", "tile", F.posexplode(F.arrays_zip("terms", "term_copies")).alias("position", "entry")
     ).select("product_id", "tile", "position", F.col("entry.terms").alias("term"), F.col("entry.term_copies").alias("df"))
     idf = (
-        vocabulary.groupBy("product_id", "term")
+        vocabulary.select("product_id", "term", "df")
+        .unionByName(short_frequencies(texts))
+        .groupBy("product_id", "term")
         .agg(F.sum("df").alias("df"))
         .join(stats.select("product_id", "with_grams", F.col("tiles").alias("tile_count")), "product_id")
         .select("product_id", "term", "tile_count", smoothed_idf(F.col("with_grams"), F.col("df")).alias("idf"))
@@ -229,52 +249,93 @@ def tile_pairs(rows: DataFrame, tile_count: str) -> DataFrame:
     )
 
 
-def _evidence_rows(product: str, keys: pa.Array, similarity: np.ndarray, copies: np.ndarray) -> dict:
-    """Reduce a block: one partial evidence row per left row. NaN marks pairs that do not count."""
-    counted = ~np.isnan(similarity)
-    filled = np.where(counted, similarity, 0.0)
-    strong = ((filled >= C.STRONG_SIMILARITY) & counted) @ copies
-    total = filled @ copies.astype(np.float64)
-    compared = counted @ copies
-    ranked = np.where(counted, similarity, -1.0)
-    width = min(C.TOP_SIMILARITIES, similarity.shape[1])
-    best = np.argpartition(-ranked, width - 1, axis=1)[:, :width]
-    tops = []
-    for row, columns in enumerate(best):
-        values = np.repeat(ranked[row, columns], np.minimum(copies[columns], C.TOP_SIMILARITIES))
-        values = np.sort(values[values >= 0])[::-1][: C.TOP_SIMILARITIES]
-        tops.append(values.tolist())
-    return {
-        "product_id": [product] * len(keys),
-        "text_key": keys,
-        "strong": strong.astype(np.int64),
-        "total": total,
-        "compared": compared.astype(np.int64),
-        "top": tops,
-    }
+# --- N4..N6: similarity blocks ------------------------------------------------------------------
 
 
-# --- N4..N6: similarity blocks ------------------------------------------------------------------
+class _Evidence:
+    """Evidence of the texts on one side of a block, gathered strip by strip. NaN marks pairs that do not count."""
+
+    def __init__(self, count: int):
+        self.strong = np.zeros(count, dtype=np.int64)
+        self.compared = np.zeros(count, dtype=np.int64)
+        self.total = np.zeros(count)
+        self.top = np.full((count, C.TOP_SIMILARITIES), -1.0)
+
+    def add(self, rows: slice, similarity: np.ndarray, copies: np.ndarray) -> None:
+        counted = ~np.isnan(similarity)
+        filled = np.where(counted, similarity, 0.0)
+        self.strong[rows] += ((filled >= C.STRONG_SIMILARITY) & counted) @ copies
+        self.total[rows] += filled @ copies.astype(np.float64)
+        self.compared[rows] += counted @ copies
+        ranked = np.where(counted, similarity, -1.0)
+        width = min(C.TOP_SIMILARITIES, similarity.shape[1])
+        best = np.argpartition(-ranked, width - 1, axis=1)[:, :width]
+        values = np.take_along_axis(ranked, best, axis=1)
+        repeats = np.minimum(copies[best], C.TOP_SIMILARITIES)
+        # A value counts as often as its text has copies: place k holds it if it repeats more than k times.
+        places = np.arange(C.TOP_SIMILARITIES)
+        spread = np.where(places < repeats[:, :, None], values[:, :, None], -1.0).reshape(len(values), -1)
+        both = np.concatenate([self.top[rows], spread], axis=1)
+        self.top[rows] = -np.sort(-both, axis=1)[:, : C.TOP_SIMILARITIES]
+
+    def table(self, product: str, keys: pa.Array, chosen: np.ndarray) -> dict:
+        return {
+            "product_id": [product] * int(chosen.sum()),
+            "text_key": keys.filter(pa.array(chosen)),
+            "strong": self.strong[chosen],
+            "total": self.total[chosen],
+            "compared": self.compared[chosen],
+            "top": [[value for value in row if value >= 0] for row in self.top[chosen].tolist()],
+        }
 
 
-def _block_product(rows_a, codes_a, values_a, rows_b, codes_b, values_b, shape, width, dtype) -> np.ndarray:
-    """Sparse (a x codes) times (b x codes) transposed, as dense products over slices of the codes."""
-    count_a, count_b = shape
-    result = np.zeros(shape, dtype=np.float64)
-    step = max(64, BLOCK_CELLS // max(1, count_a + count_b))
-    order_a, order_b = np.argsort(codes_a, kind="stable"), np.argsort(codes_b, kind="stable")
-    rows_a, codes_a, values_a = rows_a[order_a], codes_a[order_a], values_a[order_a]
-    rows_b, codes_b, values_b = rows_b[order_b], codes_b[order_b], values_b[order_b]
-    for start in range(0, width, step):
-        stop = min(width, start + step)
-        span_a = slice(*np.searchsorted(codes_a, [start, stop]))
-        span_b = slice(*np.searchsorted(codes_b, [start, stop]))
-        left = np.zeros((count_a, stop - start), dtype=dtype)
-        right = np.zeros((count_b, stop - start), dtype=dtype)
-        left[rows_a[span_a], codes_a[span_a] - start] = values_a[span_a]
-        right[rows_b[span_b], codes_b[span_b] - start] = values_b[span_b]
-        result += left @ right.T
-    return result
+class _Product:
+    """Sparse (a x codes) times (b x codes) transposed, strip by strip.
+
+    Codes that many texts on both sides hold are multiplied as dense columns, all others through postings: each entry
+    on the left meets the entries of its code on the right.
+    """
+
+    def __init__(self, a: tuple, b: tuple, shape: tuple[int, int], width: int):
+        (rows_a, codes_a, values_a), (rows_b, codes_b, values_b) = a, b
+        self.width = shape[1]
+        often_a, often_b = np.bincount(codes_a, minlength=width), np.bincount(codes_b, minlength=width)
+        dense = often_a * often_b * DENSE_RATIO > shape[0] * shape[1]
+        number = np.cumsum(dense) - 1
+        self.columns = int(dense.sum())
+        self.left = self._by_row(rows_a, codes_a, values_a, ~dense[codes_a])
+        self.left_dense = self._by_row(rows_a, number[codes_a], values_a, dense[codes_a])
+        self.right_dense = np.zeros((shape[1], self.columns))
+        inside = dense[codes_b]
+        self.right_dense[rows_b[inside], number[codes_b[inside]]] = values_b[inside]
+        order = np.argsort(codes_b, kind="stable")
+        self.rows_b, self.values_b = rows_b[order], values_b[order]
+        self.first = np.concatenate([[0], np.cumsum(often_b)])
+
+    @staticmethod
+    def _by_row(rows: np.ndarray, codes: np.ndarray, values: np.ndarray, chosen: np.ndarray) -> tuple:
+        order = np.argsort(rows[chosen], kind="stable")
+        return rows[chosen][order], codes[chosen][order], values[chosen][order]
+
+    def strip(self, low: int, high: int) -> np.ndarray:
+        cells = (high - low) * self.width
+        rows, codes, values = (part[slice(*np.searchsorted(self.left_dense[0], (low, high)))] for part in self.left_dense)
+        dense = np.zeros((high - low, self.columns))
+        dense[rows - low, codes] = values
+        result = (dense @ self.right_dense.T).ravel()
+        rows, codes, values = (part[slice(*np.searchsorted(self.left[0], (low, high)))] for part in self.left)
+        sizes = self.first[codes + 1] - self.first[codes]
+        upto = np.cumsum(sizes)
+        start = 0
+        while start < len(rows):
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + STRIP_CELLS, side="right")))
+            part = sizes[start:stop]
+            spot = np.repeat(self.first[codes[start:stop]] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+            cell = np.repeat((rows[start:stop] - low) * self.width, part) + self.rows_b[spot]
+            result += np.bincount(cell, np.repeat(values[start:stop], part) * self.values_b[spot], minlength=cells)
+            start = stop
+        return result.reshape(high - low, self.width)
 
 
 class _Side:
@@ -292,6 +353,7 @@ class _Side:
         self.keys = values("keys").filter(pa.array(kept))
         self.size = int(kept.sum())
         self.copies = values("copies").to_numpy()[kept]
+        self.wanted = values("wanted").to_numpy(zero_copy_only=False)[kept]
         self.bigrams = lengths[kept].astype(np.int64) - 1
         self.rows = (np.cumsum(kept) - 1)[rows[inside]]
         self.codes = values("codes").to_numpy()[inside]
@@ -326,63 +388,81 @@ def _unary(rows, codes, tfs, caps, starts):
     return np.repeat(rows, kept), np.repeat(starts[codes], kept) + level
 
 
-def _similarity_block(a: _Side, b: _Side, same: bool, measure: str) -> np.ndarray:
-    dictionary = pa.concat_arrays([a.terms, b.terms]).dictionary_encode()
-    joint = dictionary.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    codes_a, codes_b = joint[: len(a.terms)][a.codes], joint[len(a.terms) :][b.codes]
-    renumbered, width = _common_codes(codes_a, codes_b, len(dictionary.dictionary), same)
-    is_bigram = pc.utf8_length(dictionary.dictionary).to_numpy(zero_copy_only=False) == 2
-    codes_a, codes_b = renumbered[codes_a], renumbered[codes_b]
-    keep_a, keep_b = codes_a >= 0, codes_b >= 0
-    shape = (a.size, b.size)
-    cosine = dice = None
-    if measure in ("hybrid", "cosine"):
-        cosine = _block_product(
-            a.rows[keep_a], codes_a[keep_a], a.weights[keep_a],
-            b.rows[keep_b], codes_b[keep_b], b.weights[keep_b],
-            shape, width, np.float64,
-        )
-        cosine = np.clip(cosine, 0.0, 1.0)
-    if measure in ("hybrid", "dice"):
-        flags = np.zeros(width, dtype=bool)
-        flags[renumbered[renumbered >= 0]] = is_bigram[renumbered >= 0]
-        keep_a &= flags[np.maximum(codes_a, 0)] if width else False
-        keep_b &= flags[np.maximum(codes_b, 0)] if width else False
-        rows_a, two_a, tfs_a = a.rows[keep_a], codes_a[keep_a], a.tfs[keep_a]
-        rows_b, two_b, tfs_b = b.rows[keep_b], codes_b[keep_b], b.tfs[keep_b]
-        caps = np.minimum(_largest_count(two_a, tfs_a, width), _largest_count(two_b, tfs_b, width))
-        starts = np.cumsum(caps) - caps
-        rows_a, unit_a = _unary(rows_a, two_a, tfs_a, caps, starts)
-        rows_b, unit_b = _unary(rows_b, two_b, tfs_b, caps, starts)
-        overlap = _block_product(
-            rows_a, unit_a, np.ones(len(unit_a)), rows_b, unit_b, np.ones(len(unit_b)),
-            shape, int(caps.sum()), np.float32,
-        )
-        dice = 2.0 * overlap / (a.bigrams[:, None] + b.bigrams[None, :])
-    if measure == "cosine":
-        return cosine
-    if measure == "dice":
-        return dice
-    return C.COSINE_WEIGHT * cosine + C.DICE_WEIGHT * dice
+class _Block:
+    """Similarities of the texts of two tiles, strip by strip."""
+
+    def __init__(self, a: _Side, b: _Side, same: bool, measure: str):
+        self.measure, self.bigrams = measure, (a.bigrams, b.bigrams)
+        dictionary = pa.concat_arrays([a.terms, b.terms]).dictionary_encode()
+        joint = dictionary.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes_a, codes_b = joint[: len(a.terms)][a.codes], joint[len(a.terms) :][b.codes]
+        renumbered, width = _common_codes(codes_a, codes_b, len(dictionary.dictionary), same)
+        is_bigram = pc.utf8_length(dictionary.dictionary).to_numpy(zero_copy_only=False) == 2
+        codes_a, codes_b = renumbered[codes_a], renumbered[codes_b]
+        keep_a, keep_b = codes_a >= 0, codes_b >= 0
+        shape = (a.size, b.size)
+        if measure in ("hybrid", "cosine"):
+            self.cosine = _Product(
+                (a.rows[keep_a], codes_a[keep_a], a.weights[keep_a]),
+                (b.rows[keep_b], codes_b[keep_b], b.weights[keep_b]),
+                shape,
+                width,
+            )
+        if measure in ("hybrid", "dice"):
+            flags = np.zeros(width + 1, dtype=bool)
+            flags[renumbered[renumbered >= 0]] = is_bigram[renumbered >= 0]
+            keep_a &= flags[codes_a]
+            keep_b &= flags[codes_b]
+            rows_a, two_a, tfs_a = a.rows[keep_a], codes_a[keep_a], a.tfs[keep_a]
+            rows_b, two_b, tfs_b = b.rows[keep_b], codes_b[keep_b], b.tfs[keep_b]
+            caps = np.minimum(_largest_count(two_a, tfs_a, width), _largest_count(two_b, tfs_b, width))
+            starts = np.cumsum(caps) - caps
+            rows_a, unit_a = _unary(rows_a, two_a, tfs_a, caps, starts)
+            rows_b, unit_b = _unary(rows_b, two_b, tfs_b, caps, starts)
+            self.overlap = _Product(
+                (rows_a, unit_a, np.ones(len(unit_a))), (rows_b, unit_b, np.ones(len(unit_b))), shape, int(caps.sum())
+            )
+
+    def strip(self, low: int, high: int) -> np.ndarray:
+        cosine = dice = 0.0
+        if self.measure != "dice":
+            cosine = np.clip(self.cosine.strip(low, high), 0.0, 1.0)
+        if self.measure != "cosine":
+            bigrams_a, bigrams_b = self.bigrams
+            dice = 2.0 * self.overlap.strip(low, high) / (bigrams_a[low:high, None] + bigrams_b[None, :])
+        if self.measure == "cosine":
+            return cosine
+        if self.measure == "dice":
+            return dice
+        return C.COSINE_WEIGHT * cosine + C.DICE_WEIGHT * dice
 
 
 def _block_worker(measure: str):
     def block(table: pa.Table) -> pa.Table:
         product = table["product_id"][0].as_py()
-        tile_a, tile_b = table["tile_a"][0].as_py(), table["tile_b"][0].as_py()
-        same = tile_a == tile_b
+        same = table["tile_a"][0].as_py() == table["tile_b"][0].as_py()
+        sides = [_Side(table, row) for row in range(len(table))]
         parts = []
-        if same:
-            side = _Side(table, 0)
-            similarity = _similarity_block(side, side, True, measure)
-            np.fill_diagonal(similarity, np.nan)
-            parts.append(_evidence_rows(product, side.keys, similarity, side.copies))
-        elif len(table) == 2:
-            a, b = _Side(table, 0), _Side(table, 1)
-            if a.size and b.size:
-                similarity = _similarity_block(a, b, False, measure)
-                parts.append(_evidence_rows(product, a.keys, similarity, b.copies))
-                parts.append(_evidence_rows(product, b.keys, similarity.T, a.copies))
+        if (same or len(sides) == 2) and all(side.size for side in sides):
+            a, b = sides[0], sides[-1]
+            left, right = _Evidence(a.size), _Evidence(b.size)
+            pairs = _Block(a, b, same, measure)
+            step = max(1, STRIP_CELLS // b.size)
+            for low in range(0, a.size, step):
+                high = min(a.size, low + step)
+                asked = a.wanted[low:high].any()
+                if not asked and (same or not b.wanted.any()):
+                    continue
+                similarity = pairs.strip(low, high)
+                if same:
+                    similarity[np.arange(high - low), np.arange(low, high)] = np.nan
+                elif b.wanted.any():
+                    right.add(slice(None), similarity.T, a.copies[low:high])
+                if asked:
+                    left.add(slice(low, high), similarity, b.copies)
+            parts.append(left.table(product, a.keys, a.wanted))
+            if not same:
+                parts.append(right.table(product, b.keys, b.wanted))
         schema = pa.schema(
             [
                 ("product_id", pa.string()),
@@ -414,21 +494,42 @@ def merge_evidence(partials: DataFrame) -> DataFrame:
     )
 
 
+def _asked_pairs(tiles: DataFrame) -> DataFrame:
+    """Send every tile to the unordered pairs in which a text is asked for: all of them if its own tile has one."""
+    asked = F.array_contains("wanted", True)
+    askers = tiles.filter(asked).groupBy("product_id").agg(F.collect_set("tile").alias("askers"))
+    every = F.sequence(F.lit(0), F.col("tile_count") - 1)
+    return (
+        tiles.join(askers, "product_id")
+        .withColumn("other", F.explode(F.when(asked, every).otherwise(F.col("askers"))))
+        .withColumn("tile_a", F.least("tile", "other"))
+        .withColumn("tile_b", F.greatest("tile", "other"))
+        .drop("other", "tile_count", "askers")
+    )
+
+
 def text_evidence(
-    reviews: DataFrame, measure: str = "hybrid", tile_characters: int = TILE_CHARACTERS
+    reviews: DataFrame, measure: str = "hybrid", tile_characters: int = TILE_CHARACTERS, wanted: DataFrame | None = None
 ) -> DataFrame:
     """N4 (cosine), N5 (Dice) or N6 (hybrid): evidence per distinct text against all other reviews.
 
-    Copies of the same canonical text are pairs with similarity exactly 1.
+    Copies of the same canonical text are pairs with similarity exactly 1. With ``wanted`` (product_id, text_key)
+    only those texts get evidence, and only the blocks that hold one of them are computed.
     """
     texts = distinct_texts(reviews)
     stats = product_stats(texts, tile_characters)
-    tiles = weighted_tiles(gram_tiles(texts, stats), stats)
+    if wanted is not None:
+        marked = wanted.select("product_id", "text_key").distinct().withColumn("wanted", F.lit(True))
+        texts = texts.join(marked, ["product_id", "text_key"], "left").fillna(False, ["wanted"])
+    tiles = weighted_tiles(gram_tiles(texts, stats), stats, texts)
+    pairs = tile_pairs(tiles, "tile_count") if wanted is None else _asked_pairs(tiles)
     partials = (
-        _spread(tile_pairs(tiles, "tile_count"), "product_id", "tile_a", "tile_b")
+        _spread(pairs, "product_id", "tile_a", "tile_b")
         .groupBy("product_id", "tile_a", "tile_b")
         .applyInArrow(_block_worker(measure), BLOCK_SCHEMA)
     )
+    if wanted is not None:
+        texts = texts.filter("wanted")
     twins = F.col("copies") - 1
     ones = F.array_repeat(F.lit(1.0), F.least(twins, F.lit(C.TOP_SIMILARITIES)).cast("int"))
     return (
@@ -675,75 +776,19 @@ def user_similarity_signal(
 def target_signal(reviews: DataFrame, targets: DataFrame) -> DataFrame:
     """Evidence for chosen (product_id, review_id) targets against their product's other reviews.
 
-    Only targets are compared, so the work is linear in the product. Grams of the targets meet the grams
-    of the product in one equi-join and are aggregated per (target text, other text). Products without
-    a target are left out before any gram is made.
+    The product is packed once as for the whole signal; only blocks that hold a target are computed, so the
+    work is linear in the product. Products without a target are left out before any gram is made.
     """
     concerned = reviews.join(targets.select("product_id").distinct(), "product_id", "left_semi")
     reviews = materialized(with_canonical(concerned).drop("content"), "canonical")
-    texts = distinct_texts(reviews)
-    stats = product_stats(texts)
-    grams = gram_counts(texts)
-    weighted = weighted_grams(grams.filter(F.col("length") >= C.MIN_INFORMATIVE_CHARS), gram_idf(grams, stats))
-    norms = weighted.groupBy("product_id", "text_key").agg(
-        F.sqrt(F.sum(F.col("raw_weight") * F.col("raw_weight"))).alias("norm")
-    )
-    wanted = (
-        reviews.join(targets.select("product_id", "review_id"), ["product_id", "review_id"], "left_semi")
-        .select("product_id", "review_id", "text_key", "row_no", F.length("canonical").alias("target_length"))
-    )
-    target_texts = wanted.select("product_id", "text_key").distinct()
-    left = weighted.join(target_texts, ["product_id", "text_key"], "left_semi").select(
-        "product_id", "term", F.col("text_key").alias("target_key"), F.col("length").alias("target_length"),
-        F.col("tf").alias("target_tf"), F.col("raw_weight").alias("target_weight"),
-    )
-    right = weighted.select("product_id", "term", "text_key", "copies", "length", "tf", "raw_weight")
-    two = F.length("term") == 2
-    similarity = (
-        left.join(right, ["product_id", "term"])
-        .filter(F.col("text_key") != F.col("target_key"))
-        .groupBy("product_id", "target_key", "text_key", "copies", "length", "target_length")
-        .agg(
-            F.sum(F.col("target_weight") * F.col("raw_weight")).alias("product"),
-            F.sum(F.when(two, F.least("target_tf", "tf")).otherwise(0)).alias("overlap"),
-        )
-        .join(norms, ["product_id", "text_key"])
-        .join(
-            norms.select("product_id", F.col("text_key").alias("target_key"), F.col("norm").alias("target_norm")),
-            ["product_id", "target_key"],
-        )
-        .withColumn("cosine", F.col("product") / (F.col("norm") * F.col("target_norm")))
-        .withColumn(
-            "similarity",
-            C.COSINE_WEIGHT * numbers.clip(F.col("cosine"), 0.0, 1.0)
-            + C.DICE_WEIGHT * 2.0 * F.col("overlap") / (F.col("length") + F.col("target_length") - 2),
-        )
-    )
-    strong = F.when(F.col("similarity") >= C.STRONG_SIMILARITY, F.col("copies")).otherwise(0)
-    repeated = F.array_repeat("similarity", F.least("copies", F.lit(C.TOP_SIMILARITIES)).cast("int"))
-    sums = similarity.groupBy("product_id", F.col("target_key").alias("text_key")).agg(
-        F.sum(strong).alias("other_strong"), F.sum(F.col("similarity") * F.col("copies")).alias("other_total")
+    counts = reviews.groupBy("product_id").agg(F.count("*").alias("reviews"))
+    chosen = reviews.join(targets.select("product_id", "review_id"), ["product_id", "review_id"], "left_semi").select(
+        "product_id", "review_id", "text_key", "row_no"
     )
-    closest = largest_similarities(similarity.withColumn("values", repeated))
-    own = texts.select("product_id", "text_key", "copies")
-    informative = F.col("target_length") >= C.MIN_INFORMATIVE_CHARS
-    twins = F.col("copies") - 1
-    others = F.col("informative") - 1
-    ones = F.array_repeat(F.lit(1.0), F.least(twins, F.lit(C.TOP_SIMILARITIES)).cast("int"))
-    zeros = F.array_repeat(F.lit(0.0), C.TOP_SIMILARITIES)
-    padded = F.concat(ones, F.coalesce("other_top", F.array().cast("array<double>")), zeros)
     joined = (
-        wanted.join(own, ["product_id", "text_key"])
-        .join(stats.select("product_id", "informative", "reviews"), "product_id")
-        .join(sums, ["product_id", "text_key"], "left")
-        .join(closest, ["product_id", "text_key"], "left")
-        .select(
-            "product_id", "review_id", "row_no", "reviews",
-            F.when(informative, F.coalesce("other_strong", F.lit(0)) + twins).alias("strong"),
-            F.when(informative, F.coalesce("other_total", F.lit(0.0)) + twins).alias("total"),
-            F.when(informative, others).alias("compared"),
-            F.slice(padded, F.lit(1), F.least(others, F.lit(C.TOP_SIMILARITIES)).cast("int")).alias("top"),
-        )
+        chosen.join(text_evidence(reviews, wanted=chosen), ["product_id", "text_key"], "left")
+        .join(counts, "product_id")
+        .drop("text_key")
     )
     scored = with_network_score(with_features(joined))
     return scored.withColumn(
@@ -752,18 +797,3 @@ def target_signal(reviews: DataFrame, targets: DataFrame) -> DataFrame:
         .when(F.col("reviews") < 2, "no_comparison_reviews")
         .otherwise("similarity_unavailable"),
     ).drop("reviews")
-
-
-def largest_similarities(pairs: DataFrame) -> DataFrame:
-    """The three largest similarities per target text, found with partial top-k before the shuffle."""
-    ranked = (
-        pairs.select("product_id", "target_key", F.explode("values").alias("value"))
-        .withColumn(
-            "rank",
-            F.row_number().over(Window.partitionBy("product_id", "target_key").orderBy(F.col("value").desc())),
-        )
-        .filter(F.col("rank") <= C.TOP_SIMILARITIES)
-    )
-    return ranked.groupBy("product_id", F.col("target_key").alias("text_key")).agg(
-        F.sort_array(F.collect_list("value"), asc=False).alias("other_top")
-    )
