@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustscore.operators import behavior_signal, meta, network_signal, text_signal, validation
-from trustscore.plans.analysis import analyze_flat, analyze_reviews
+from trustscore.plans.analysis import analyze_flat, analyze_reviews, rejected_reviews
 
 LONG = "정말 오래 사용해 본 뒤에 남기는 자세한 후기입니다"
 
@@ -253,14 +253,37 @@ def test_validation(spark):
         validation.require_valid(rows)
 
 
+def test_invalid_reviews_are_reported_and_never_scored(spark):
+    rows = [
+        ("p", "a", "a fine long review text", 1, 0.2), ("p", "b", "another long review text", 2, 1.7), ("p", "c", "third text", 3, float("nan")),
+        ("p", "d", "twice", 4, 0.1), ("p", "d", "twice", 5, 0.1), ("p", " ", "blank", 6, 0.1), (None, "e", "no product", 7, 0.1),
+    ]
+    frame = spark.createDataFrame(rows, "product_id string, review_id string, content string, row_no long, suspicious_probability double")
+    found = {(r.product_id, r.review_id, r.violation) for r in rejected_reviews(frame).collect()}
+    assert found == {
+        ("p", "b", "invalid_probability"), ("p", "c", "invalid_probability"), ("p", "d", "duplicate_review_id"),
+        ("p", " ", "blank_review_id"), (None, "e", "blank_product_id"),
+    }
+    flat = analyze_flat(frame).collect()
+    assert [(r.review_id, r.text_score, r.level) for r in flat] == [("a", 80.0, "safe")]
+    with pytest.raises(validation.ContractViolation, match="5 violations"):
+        analyze_flat(frame, strict=True)
+    scores = spark.createDataFrame([(float("nan"), None, None), (-70.0, None, None), (101.0, 50.0, None), (80.0, None, None)],
+                                   "text_score double, behavior_score double, network_score double")
+    got = [(r.rti, r.level, r.unavailable_reason) for r in meta.meta_score(scores).collect()]
+    assert got == [(None, None, "invalid_score")] * 3 + [(80.0, "safe", None)]
+
+
 def test_product_key(spark):
     one = spark.createDataFrame([("x", "1", "a", "text", DAY)], "platform string, product_id string, review_id string, content string, written_at timestamp")
     two = one.union(spark.createDataFrame([("y", "1", "b", "text", DAY)], one.schema))
     keyed = validation.resolve_product_key(one)
     row = validation.to_analysis_inputs(keyed).first()
     assert (row.product_id, row.review_id, row.review_date, row.user_id, row.verified_purchase) == ("x:1", "x:a", DAY, None, None)
-    with pytest.raises(validation.ContractViolation, match="x:1, y:1"):
+    with pytest.raises(validation.ContractViolation, match="x:1"):
         validation.resolve_product_key(two)
+    origins = validation.batch_origins(two.withColumn("batch", F.lit(1)), "batch").orderBy("origin").collect()
+    assert [r.origin for r in origins] == ["x:1", "y:1"]
     assert {r.product_key for r in validation.resolve_product_key(two, "grouped").collect()} == {"grouped"}
     with pytest.raises(ValueError):
         validation.resolve_product_key(two, " ")

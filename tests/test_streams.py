@@ -114,13 +114,20 @@ def test_review_reader_and_responses(spark, tmp_path):
     good, rejected = readers.read_reviews(spark, str(path))
     assert {tuple(r.images) for r in good.collect()} == {(), ("i",)} and rejected.count() == 1 and "extra" not in good.columns
     flat = analyze_flat(good.withColumn("row_no", F.col("review_id").substr(2, 5).cast("long"))).cache()
-    response = writers.to_product_response(flat).collect()
+    response = writers.to_product_response(flat, page_size=10).collect()
     assert len(response) == 1 and response[0].review_count == 2 and [r.review_id for r in response[0].results] == ["r1", "r2"]
     pages = writers.to_product_response(flat, page_size=1).orderBy("page").collect()
     assert [(p.page, p.results[0].review_id, p.review_count) for p in pages] == [(0, "r1", 2), (1, "r2", 2)]
-    writers.write_product_responses(flat, str(tmp_path / "out"))
+    writers.write_product_responses(flat, str(tmp_path / "out"), 10)
     with pytest.raises(Exception):
-        writers.write_product_responses(flat, str(tmp_path / "out"))
+        writers.write_product_responses(flat, str(tmp_path / "out"), 10)
+    writers.publish(good, str(tmp_path / "set"), (str(path),))
+    assert writers.read_published(spark, str(tmp_path / "set")).count() == 2
+    (tmp_path / "half").mkdir()
+    with pytest.raises(FileNotFoundError):
+        writers.read_published(spark, str(tmp_path / "half"))
+    with pytest.raises(ValueError):
+        writers.publish(good, str(tmp_path / "x" / ".." / "set2"), (str(tmp_path / "set2"),))
     limited = readers.limit_per_product(flat, 1).collect()
     assert [r.review_id for r in limited] == ["r1"]
     for count in (0, 501, True):

@@ -38,9 +38,12 @@ def number_bucket(column: str, width: int = BUCKET_WIDTH) -> Column:
     return F.floor(F.col(column) / F.lit(width))
 
 
-def hex_bucket(column: str) -> Column:
-    """Bucket of a hexadecimal digest: 65,536 evenly filled buckets."""
-    return F.conv(F.substring(column, 1, 4), 16, 10).cast("int")
+def hex_bucket(column: str, rows: int) -> Column:
+    """Bucket of a hexadecimal digest of ``rows`` rows: as many digits as keep a bucket near ``BUCKET_WIDTH`` rows."""
+    digits = 1
+    while rows > BUCKET_WIDTH * 16**digits and digits < 12:
+        digits += 1
+    return F.conv(F.substring(column, 1, digits), 16, 10).cast("long")
 
 
 def side_by_side(frames: list[DataFrame]) -> DataFrame:

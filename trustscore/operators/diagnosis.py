@@ -9,6 +9,7 @@ from trustscore import constants as C
 from trustscore.functions import text
 from trustscore.functions.repetition import token_repetition
 from trustscore.operators import diagnosis_join
+from trustscore.operators.validation import enforce
 
 SENTENCE_BREAK = r"[.!?。！？]+|\n+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -219,12 +220,7 @@ def check_expectations(rows: DataFrame, expected: DataFrame, observed_column: st
 
 def require_expectations(rows: DataFrame, expected: DataFrame, observed_column: str) -> None:
     """G10, strict form: raise when an expectation fails."""
-    failed = check_expectations(rows, expected, observed_column).orderBy("master_id").limit(20).collect()
-    if failed:
-        raise ValueError(
-            "Regression validation failed: "
-            + "; ".join(f"master_id={row.master_id}: expected {row.expected}, got {row.observed}" for row in failed)
-        )
+    enforce(check_expectations(rows, expected, observed_column), "expectations", ValueError)
 
 
 def value_summary(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:

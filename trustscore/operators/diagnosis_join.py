@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trustscore.functions import text
 from trustscore.operators import labelled
 from trustscore.operators.network_signal import text_key
+from trustscore.operators.validation import enforce
 
 
 class UnsafeJoin(ValueError):
@@ -15,9 +16,7 @@ class UnsafeJoin(ValueError):
 
 
 def _raise_on(rows: DataFrame, message: str) -> None:
-    found = rows.limit(3).collect()
-    if found:
-        raise UnsafeJoin(f"{message}: {', '.join(str(tuple(row)) for row in found)}")
+    enforce(rows, message, UnsafeJoin)
 
 
 def master_id_problems(source: DataFrame) -> DataFrame:

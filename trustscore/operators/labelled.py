@@ -109,8 +109,9 @@ def stratified_split(examples: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame
         examples.withColumn("order_key", F.md5(F.concat(F.lit(f"{seed}|"), text.normalize_text("text")))), "examples"
     )
     require_classes(keyed)
+    bucket = ranking.hex_bucket("order_key", keyed.count())
     sizes = keyed.groupBy("label").agg(F.count("*").alias("class_rows"))
-    ranked = ranking.bucketed_rank(keyed, ["label"], ranking.hex_bucket("order_key"), ["order_key"])
+    ranked = ranking.bucketed_rank(keyed, ["label"], bucket, ["order_key"])
     held = F.greatest(F.lit(1), numbers.round_whole(F.col("class_rows") * C.HELD_OUT_FRACTION))
     train = F.col("class_rows") - 2 * held
     split = (

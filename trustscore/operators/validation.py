@@ -24,21 +24,38 @@ class ContractViolation(ValueError):
     """A batch breaks a rule that the caller asked to enforce."""
 
 
+def enforce(violations: DataFrame, what: str, error: type[Exception] = ContractViolation) -> None:
+    """Raise when a table of violations has rows, with their number and the first as an example.
+
+    The whole table stays with the caller, who can write it.
+    """
+    count = violations.count()
+    if count:
+        example = violations.orderBy(*violations.columns).first().asDict()
+        raise error(f"{what}: {count} violations, for example {example}")
+
+
 def scoped_key(platform: Column | str, native_id: Column | str) -> Column:
     """Platform-scoped identifier."""
     return F.concat_ws(KEY_SEPARATOR, platform, native_id)
 
 
 def mixed_batches(reviews: DataFrame, batch: str) -> DataFrame:
-    """Batches whose reviews come from more than one (platform, product), with the origins sorted.
+    """Batches whose reviews come from more than one (platform, product): how many, and the first by name.
 
-    Origins are made distinct before they are collected, so a large batch of one product stays one row.
+    ``batch_origins`` lists them all, one row each.
     """
-    origins = reviews.select(batch, scoped_key("platform", "product_id").alias("origin")).distinct()
-    counted = origins.groupBy(batch).agg(F.count("*").alias("origin_count"), F.min("origin").alias("first_origin"))
+    counted = batch_origins(reviews, batch).groupBy(batch).agg(
+        F.count("*").alias("origin_count"), F.min("origin").alias("first_origin")
+    )
     return counted.filter(F.col("origin_count") > 1)
 
 
+def batch_origins(reviews: DataFrame, batch: str) -> DataFrame:
+    """The distinct origins of every batch."""
+    return reviews.select(batch, scoped_key("platform", "product_id").alias("origin")).distinct()
+
+
 def resolve_product_key(reviews: DataFrame, product_key: str | None = None, batch: str | None = None) -> DataFrame:
     """Add ``product_key``: the explicit key, or the scoped key of the review's own product.
 
@@ -53,17 +70,7 @@ def resolve_product_key(reviews: DataFrame, product_key: str | None = None, batc
     key = batch or "_batch"
     if grouped.isEmpty():
         raise ValueError("reviews must not be empty")
-    mixed = mixed_batches(grouped, key).limit(1).collect()
-    if mixed:
-        wanted = mixed[0][key]
-        listed = (
-            grouped.filter(F.col(key).eqNullSafe(wanted))
-            .select(scoped_key("platform", "product_id").alias("origin")).distinct().orderBy("origin").limit(20).collect()
-        )
-        raise ContractViolation(
-            "reviews must share one (platform, product_id); pass product_key to group them: "
-            + ", ".join(row.origin for row in listed)
-        )
+    enforce(mixed_batches(grouped, key), "a batch without a product_key must come from one product")
     return reviews.withColumn("product_key", scoped_key("platform", "product_id"))
 
 
@@ -92,7 +99,7 @@ def to_inputs_from_rows(rows: DataFrame, platform: str, product_id: str) -> Data
     if "product_id" in rows.columns:
         foreign = foreign | ~F.col("product_id").cast("string").eqNullSafe(F.lit(product_id))
     if not rows.filter(foreign).isEmpty():
-        raise ContractViolation("reviews must share platform and product_id")
+        raise ContractViolation("some rows belong to another platform or product")
     if "review_date" in rows.columns:
         review_date = F.col("review_date")
     elif "written_at" in rows.columns:
@@ -133,11 +140,8 @@ def validate_inputs(reviews: DataFrame, product_id: str | None = None) -> DataFr
 
 
 def require_valid(reviews: DataFrame, product_id: str | None = None) -> DataFrame:
-    """P5, strict: raise on the first violations, else return the batch unchanged."""
-    found = validate_inputs(reviews, product_id).limit(5).collect()
-    if found:
-        listed = "; ".join(f"{row.violation} (product {row.product_id!r}, review {row.review_id!r})" for row in found)
-        raise ContractViolation(listed)
+    """P5, strict: raise when there are violations, else return the batch unchanged."""
+    enforce(validate_inputs(reviews, product_id), "review batch")
     return reviews
 
 

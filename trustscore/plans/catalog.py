@@ -6,6 +6,7 @@ through a subset. Real numbers are rounded on both sides because sums are taken
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -29,9 +30,9 @@ from trustscore.operators import (
     validation,
 )
 from trustscore.operators.reasons import codes
-from trustscore.plans.analysis import analyze_flat, analyze_reviews
+from trustscore.plans.analysis import analyze_flat, analyze_reviews, rejected_reviews
 from trustscore.plans.views import Tables
-from trustscore.session import shared_folder
+from trustscore.session import materialized, shared_folder
 from trustscore.sources import readers, writers
 from trustscore.streaming import events as stream_events
 from trustscore.streaming import jobs
@@ -189,7 +190,9 @@ def s1(t: Tables) -> DataFrame:
 )
 def s2(t: Tables) -> DataFrame:
     padded = t.master().select(F.col("review").alias(" review"), F.col("final_label").alias("final_label "))
-    return readers.stripped_headers(padded).groupBy("final_label").agg(
+    path = f"{shared_folder(t.spark)}/master-{uuid.uuid4().hex}"
+    writers.write_new(padded, path, "json")
+    return readers.read_review_master(t.spark, path, "json").groupBy("final_label").agg(
         F.count("*").alias("rows"), F.sum(F.length("review")).alias("characters")
     )
 
@@ -199,7 +202,9 @@ def s2(t: Tables) -> DataFrame:
     f"with {MASTER} select final_label, use_for_training, count(*) as rows from master group by 1, 2",
 )
 def s3(t: Tables) -> DataFrame:
-    rows = readers.as_labelling(t.master().withColumnRenamed("review", " content "))
+    path = f"{shared_folder(t.spark)}/labelling-{uuid.uuid4().hex}"
+    writers.write_new(t.master().withColumnRenamed("review", " content "), path, "json")
+    rows = readers.read_labelling(t.spark, path, "json")
     return rows.groupBy("final_label", "use_for_training").agg(F.count("content").alias("rows"))
 
 
@@ -686,6 +691,27 @@ def t3(t: Tables) -> DataFrame:
     return text_signal.text_score(t.probabilities(), threshold=0.3).select("review_id", "text_score", "predicted_label")
 
 
+def _faulty_probabilities(t: Tables) -> DataFrame:
+    """Every seventh probability lies above one, every eleventh is no number, every thirteenth is missing."""
+    number, given = F.col("row_no"), F.col("suspicious_probability")
+    return t.probabilities().withColumn(
+        "suspicious_probability",
+        F.when(number % 7 == 3, given + 1.01)
+        .when(number % 11 == 5, float("nan"))
+        .when(number % 13 == 7, None)
+        .otherwise(given),
+    )
+
+
+@query(
+    "T3_probability_violations",
+    f"with {REVIEWS} select review_id, row_no % 7 = 3 as above from reviews where row_no % 7 = 3 or row_no % 11 = 5",
+)
+def t3b(t: Tables) -> DataFrame:
+    found = text_signal.probability_violations(_faulty_probabilities(t))
+    return found.select("review_id", (~F.isnan("suspicious_probability")).alias("above"))
+
+
 @query(
     "T4_missing_text_score",
     f"""with {REVIEWS} select review_id, coalesce(case when length(content) >= 400 and length(content) < 5000 then round_even((1 - (row_no*37 % 101)/100.0::double)*100, 0) end, -1) as text_score,
@@ -1033,6 +1059,51 @@ def m7(t: Tables) -> DataFrame:
     )
 
 
+def _faulty_batch(t: Tables) -> DataFrame:
+    """Blank ids, ids used twice within a product, and invalid probabilities."""
+    number = F.col("row_no")
+    shared = number % 10 < 2
+    return (
+        _faulty_probabilities(t)
+        .select("row_no", "suspicious_probability")
+        .join(t.reviews(), "row_no")
+        .withColumn("product_id", F.when(shared, "shared").when(number % 19 == 4, " ").otherwise(F.col("product_id")))
+        .withColumn(
+            "review_id",
+            F.when(number % 13 == 0, F.lit("  "))
+            .when(shared, F.floor(number / 10).cast("string"))
+            .otherwise(F.concat(F.lit("d"), number.cast("string"))),
+        )
+    )
+
+
+FAULTY_SQL = """batch as (select doc_id as n, case when doc_id % 10 < 2 then 'shared' when doc_id % 19 = 4 then ' ' else source end as product_id,
+  case when doc_id % 13 = 0 then '  ' when doc_id % 10 < 2 then cast(doc_id // 10 as varchar) else 'd' || doc_id end as review_id,
+  doc_id % 7 = 3 or doc_id % 11 = 5 as faulty from documents),
+ids as (select product_id, review_id, count(*) as rows from batch group by 1, 2),
+rejected as (select product_id, review_id, 'blank_product_id' as violation, rows from ids where trim(product_id) = ''
+  union all select product_id, review_id, 'blank_review_id', rows from ids where trim(review_id) = ''
+  union all select product_id, review_id, 'duplicate_review_id', rows from ids where rows > 1 and trim(review_id) <> ''
+  union all select product_id, review_id, 'invalid_probability', count(*) from batch where faulty group by 1, 2)"""
+
+
+@query("M6_rejected", f"with {FAULTY_SQL} select * from rejected")
+def m6b(t: Tables) -> DataFrame:
+    return rejected_reviews(_faulty_batch(t))
+
+
+@query(
+    "M6_scored_of_faulty_batch",
+    f"""with {FAULTY_SQL} select b.product_id, b.review_id, true as in_range from batch b
+where not exists (select 1 from rejected r where r.product_id = b.product_id and r.review_id = b.review_id)""",
+)
+def m6c(t: Tables) -> DataFrame:
+    """Only valid reviews are scored, and every index lies within 0..100 or is the sentinel."""
+    flat = analyze_flat(_faulty_batch(t))
+    inside = F.col("rti").between(0, 100) | (F.col("rti") == C.MISSING)
+    return flat.select("product_id", "review_id", inside.alias("in_range"))
+
+
 # --- 2.8 labelled data --------------------------------------------------------------------------
 
 
@@ -1383,31 +1454,69 @@ def g12(t: Tables) -> DataFrame:
 
 
 def _fitted(t: Tables):
-    splits = scored_splits(t).select("text", "label", "split").persist()
-    train = splits.filter(F.col("split") == "train")
-    return splits, train
+    """Splits written once for the several passes of a fit."""
+    splits = materialized(scored_splits(t).select("text", "label", "split"), "model-splits")
+    return splits, splits.filter(F.col("split") == "train")
 
 
-@query("X1_fit_and_predict")
+@query(
+    "X1_fit_and_predict",
+    f"with {SPLITS} select md5(text) as text, label, split, true as in_range, true as thresholded from splits",
+)
 def x1(t: Tables) -> DataFrame:
+    """The rows, and that every prediction is a probability and its threshold; the numbers are tested on a closed case."""
     splits, train = _fitted(t)
-    fitted = model.fit_text_model(train)
-    return model.predict(fitted, splits).select(F.md5("text").alias("text"), "label", "split", r6("probability").alias("probability"))
+    predicted = model.predict(model.fit_text_model(train), splits)
+    chance = F.col("probability")
+    return predicted.select(
+        F.md5("text").alias("text"),
+        "label",
+        "split",
+        (~F.isnan(chance) & chance.between(0, 1)).alias("in_range"),
+        ((chance >= C.LABEL_THRESHOLD).cast("int") == F.col("predicted")).alias("thresholded"),
+    )
 
 
-@query("X2_select_model")
+@query(
+    "X2_select_model",
+    f"""with {SPLITS} select true as best, count(*) filter (label = 0) as normal, count(*) filter (label = 1) as suspicious
+from splits where split = 'validation'""",
+)
 def x2(t: Tables) -> DataFrame:
+    """The chosen candidate has the best F1 of all on the whole validation split."""
     splits, train = _fitted(t)
+    validation_rows = splits.filter(F.col("split") == "validation")
     candidates = {f"regularization={r}": model.fit_text_model(train, regularization=r) for r in (0.01, 0.1)}
-    name, chosen = model.select_model(candidates, splits.filter(F.col("split") == "validation"))
-    validated = model.predict(chosen, splits.filter(F.col("split") == "validation"))
-    return evaluation.classification_metrics(validated, check=False).withColumn("model", F.lit(name))
+    name, chosen = model.select_model(candidates, validation_rows)
+    found = {
+        key: evaluation.classification_metrics(model.predict(fitted, validation_rows), check=False).first().suspicious_f1
+        for key, fitted in candidates.items()
+    }
+    metrics = evaluation.classification_metrics(model.predict(chosen, validation_rows), check=False)
+    return metrics.select(
+        F.lit(found[name] == max(found.values())).alias("best"),
+        (F.col("tn") + F.col("fp")).alias("normal"),
+        (F.col("tp") + F.col("fn")).alias("suspicious"),
+    )
 
 
-@query("X3_evaluate")
+@query(
+    "X3_evaluate",
+    f"""with {SPLITS}, audit as (select sum(n)::bigint as raw_selected, count(*) filter (label = top_label) as kept from grouped)
+select count(*) filter (split = 'test' and label = 0) as test_normal, count(*) filter (split = 'test' and label = 1) as test_suspicious,
+  count(*) filter (split = 'train' and label = 0) as train_normal, count(*) filter (split = 'train' and label = 1) as train_suspicious,
+  round(count(*) filter (split = 'train') / (2 * count(*) filter (split = 'train' and label = 0)), 6) as normal_weight,
+  round(count(*) filter (split = 'train') / (2 * count(*) filter (split = 'train' and label = 1)), 6) as suspicious_weight,
+  (select raw_selected from audit) as raw_selected, (select kept from audit) as kept, true as cells_add_up from splits""",
+)
 def x3(t: Tables) -> DataFrame:
     splits, train = _fitted(t)
-    return model.evaluate(model.fit_text_model(train), splits, labelled.prep_audit(selected_rows(t)))
+    row = model.evaluate(model.fit_text_model(train), splits, labelled.prep_audit(selected_rows(t)))
+    cells = (F.col("tn") + F.col("fp") == F.col("test_normal")) & (F.col("tp") + F.col("fn") == F.col("test_suspicious"))
+    return row.select(
+        "test_normal", "test_suspicious", "train_normal", "train_suspicious", r6("normal_weight").alias("normal_weight"),
+        r6("suspicious_weight").alias("suspicious_weight"), "raw_selected", "kept", cells.alias("cells_add_up"),
+    )
 
 
 # --- 2.12 streams -------------------------------------------------------------------------------
@@ -1470,6 +1579,18 @@ def w4(t: Tables) -> DataFrame:
     return jobs.job_outcomes(jobs.decoded_once(t.job_events()))
 
 
+@query(
+    "W4_closed_by_source",
+    f"""with {OUTCOME_SQL}, users as (select distinct job, user_id from valid)
+select job, case when not ended and user_id % 2 = 0 then 502 else status end as status, outcome from outcomes join users using (job)""",
+)
+def w4c(t: Tables) -> DataFrame:
+    """Of the jobs without an end event, those of even users were closed by their source."""
+    decoded = jobs.decoded_once(t.job_events())
+    closed = t.events().filter(F.col("user_id") % 2 == 0).select(F.concat(F.lit("j"), "user_id").alias("job"))
+    return jobs.job_outcomes(decoded, closed).select("job", "status", "outcome")
+
+
 def _run_stream(t: Tables) -> DataFrame:
     """The stored events as a file stream through the stateful job tracker."""
     folder = f"{shared_folder(t.spark)}/jobs-{pd.Timestamp.now().value}"
@@ -1480,6 +1601,7 @@ def _run_stream(t: Tables) -> DataFrame:
     run = (
         jobs.follow_jobs(stream_events.decode_events(stream))
         .writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
+        # Available-now would wait for the silence timers, ten minutes after the last event.
         .trigger(once=True).start(f"{folder}/out")
     )
     run.awaitTermination()

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustscore.session import balanced_scan
-
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
@@ -19,7 +17,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        return balanced_scan(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     def reviews(self) -> DataFrame:
         return self.documents().select(
@@ -47,7 +45,7 @@ class Tables:
         )
 
     def events(self) -> DataFrame:
-        return balanced_scan(self.table("events"), "event_id")
+        return self.table("events")
 
     def history(self) -> DataFrame:
         return self.events().select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").alias("review_date"))

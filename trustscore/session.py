@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "trustscore", cores: str = "*", shuffle_partitions: int = 16) -> SparkSession:
@@ -17,6 +17,7 @@ def local_session(app: str = "trustscore", cores: str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -53,14 +54,3 @@ def materialized(rows: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     rows.write.mode("errorifexists").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
-
-
-def balanced_scan(scan: DataFrame, key: str | Column) -> DataFrame:
-    """Spread a plain file scan that has fewer splits than the session has cores.
-
-    A scan that already has enough splits, as any large table does, is returned as it is: no shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, key)

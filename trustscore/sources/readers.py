@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trustscore import constants as C
 from trustscore.functions import text
 from trustscore.operators.network_signal import text_key
+from trustscore.operators.validation import enforce
 from trustscore.schemas import CRAWLED_REVIEW, REVIEW_REQUIRED
 
 LABELLING_REQUIRED = ("content", "final_label", "use_for_training")
@@ -22,16 +23,20 @@ class InvalidTable(ValueError):
 def require_columns(frame: DataFrame, required: tuple[str, ...] | set[str], what: str) -> DataFrame:
     missing = sorted(set(required) - set(frame.columns))
     if missing:
-        raise InvalidTable(f"{what} is missing required columns: {', '.join(missing)}")
+        raise InvalidTable(f"{what} lacks the columns {', '.join(missing)}")
     return frame
 
 
-def read_table(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """Parquet, JSON lines or CSV with a header (a byte order mark is skipped); strings stay strings."""
+def read_table(spark: SparkSession, path: str, format: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Parquet, JSON lines or CSV with a header (a byte order mark is skipped); strings stay strings.
+
+    CSV records are lines, so that a large file is split over tasks; ``multi_line`` allows line breaks inside
+    quoted fields and reads each file in one task.
+    """
     kind = format or ("csv" if path.endswith(".csv") else "json" if path.endswith((".json", ".jsonl")) else "parquet")
     reader = spark.read
     if kind == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"', encoding="UTF-8")
+        reader = reader.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8")
     return reader.format(kind).load(path)
 
 
@@ -86,7 +91,7 @@ def as_labelling(frame: DataFrame) -> DataFrame:
     require_columns(cleaned, LABELLING_REQUIRED, "labelling table")
     named = [name for name in cleaned.columns if name]
     if len(named) != len(set(named)):
-        raise InvalidTable("labelling table has duplicate column headers")
+        raise InvalidTable("labelling table names a column twice")
     return cleaned
 
 
@@ -121,9 +126,7 @@ def load_diagnoses(diagnoses: DataFrame, expected: int | None = None, check: boo
     """Diagnoses keyed by id, values stripped; ``expected`` is the required number of rows."""
     require_columns(diagnoses, DIAGNOSIS_REQUIRED, "diagnosis table")
     if check:
-        found = diagnosis_problems(diagnoses).limit(5).collect()
-        if found:
-            raise InvalidTable("; ".join(f"{row.problem}: {row.master_id!r}" for row in found))
+        enforce(diagnosis_problems(diagnoses), "diagnosis table", InvalidTable)
         if expected is not None and (rows := diagnoses.count()) != expected:
             raise InvalidTable(f"expected {expected} diagnoses, found {rows}")
     cleaned = {
@@ -139,9 +142,7 @@ def load_diagnoses_by_text(diagnoses: DataFrame, check: bool = True) -> DataFram
     require_columns(diagnoses, BY_TEXT_REQUIRED, "diagnosis table")
     kind = text.strip(F.coalesce("diagnostic_type", F.lit("")))
     if check:
-        unknown = diagnoses.filter(~kind.isin(*C.DIAGNOSTIC_TYPES)).limit(1).collect()
-        if unknown:
-            raise InvalidTable(f"Unexpected diagnostic_type: {unknown[0].diagnostic_type}")
+        enforce(diagnoses.filter(~kind.isin(*C.DIAGNOSTIC_TYPES)).select("diagnostic_type"), "unknown types", InvalidTable)
     key = text_key(text.normalize_text(F.coalesce("review", F.lit(""))))
     return (
         diagnoses.groupBy(key.alias("norm_key"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import posixpath
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustscore.functions import ranking
 
-PAGE_SIZE = 500
 RESULT_FIELDS = ("review_id", "rti", "level", "text_score", "behavior_score", "network_score", "reasons")
 
 
@@ -22,25 +23,41 @@ def write_new(rows: DataFrame, path: str, format: str = "parquet") -> None:
 def publish(rows: DataFrame, path: str, inputs: tuple[str, ...] = (), format: str = "parquet") -> None:
     """Publish an assembled data set.
 
-    The output committer makes files visible only when the job succeeds and then adds ``_SUCCESS``;
-    readers treat a folder without it as absent. The target must be new and differ from every input.
+    The output committer makes files visible only when the job succeeds and then adds ``_SUCCESS``, which
+    ``read_published`` asks for. The target must be new and differ from every input as the file system sees it.
     """
-    normal = {other.rstrip("/") for other in inputs}
-    if path.rstrip("/") in normal:
-        raise ValueError("Output path must differ from every input path")
+    spark = rows.sparkSession
+    if resolved(spark, path) in {resolved(spark, other) for other in inputs}:
+        raise ValueError(f"{path} is one of the inputs; a data set needs a folder of its own")
     write_new(rows, path, format)
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """A path as its file system names it, without relative parts."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = system.makeQualified(place).toUri()
+    return f"{parts.getScheme()}://{parts.getAuthority() or ''}{posixpath.normpath(parts.getPath())}"
+
+
+def read_published(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """S8, reading side: a data set whose publication was finished."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        raise FileNotFoundError(f"{path} holds no finished data set")
+    return spark.read.format(format).load(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """A one-row metrics table as JSON."""
     metrics.write.mode("errorifexists").json(path)
 
 
-def to_product_response(flat: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+def to_product_response(flat: DataFrame, page_size: int) -> DataFrame:
     """Flat rows nested per product in input order, with the product's review count.
 
-    The largest collection is one page, so such a product is one row. Larger products come as numbered
-    pages, because one array of a third of all reviews would fit neither a task nor a reader. Ranks are
+    A product comes as numbered pages of ``page_size`` reviews, because one array of a third of all reviews
+    would fit neither a task nor a reader; the caller states how large a page its readers take. Ranks are
     exact and taken per bucket of ``row_no``, which must be unique.
     """
     keys = ["platform", "product_id"]
@@ -54,6 +71,6 @@ def to_product_response(flat: DataFrame, page_size: int = PAGE_SIZE) -> DataFram
     return nested.join(counts, keys).select(*keys, "review_count", "page", "results")
 
 
-def write_product_responses(flat: DataFrame, path: str) -> None:
-    """S10 as JSON lines, one response (or page) per line."""
-    write_new(to_product_response(flat), path, "json")
+def write_product_responses(flat: DataFrame, path: str, page_size: int) -> None:
+    """S10 as JSON lines, one page per line."""
+    write_new(to_product_response(flat, page_size), path, "json")

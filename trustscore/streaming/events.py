@@ -74,7 +74,7 @@ def forwardable(decoded: DataFrame) -> DataFrame:
 def dedup_reviews(decoded: DataFrame, event_time: str | None = None) -> DataFrame:
     """Drop reviews delivered again within a job; other events pass.
 
-    On a stream, ``event_time`` (with a watermark set by the caller) bounds the state.
+    A stream needs ``event_time``, with a watermark set by the caller: without it the state would grow for ever.
     """
     other = F.col("event") != "review"
     identity = F.when(other | F.col("review").isNull(), F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(
@@ -84,6 +84,6 @@ def dedup_reviews(decoded: DataFrame, event_time: str | None = None) -> DataFram
     if event_time is not None:
         return keyed.dropDuplicatesWithinWatermark(["job", "_identity"]).drop("_identity")
     if decoded.isStreaming:
-        return keyed.dropDuplicates(["job", "_identity"]).drop("_identity")
+        raise ValueError("a stream needs event_time and a watermark to drop redelivered reviews")
     first = keyed.groupBy("job", "_identity").agg(F.min("seq").alias("seq"))
     return keyed.join(first, ["job", "_identity", "seq"], "left_semi").drop("_identity")

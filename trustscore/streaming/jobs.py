@@ -98,7 +98,7 @@ def outcome_of(kind: Column, retryable: Column, collected: Column) -> tuple[Colu
     status = (
         F.when(complete, 200)
         .when(kind == "done", 404)
-        .when(kind == "violation", 502)
+        .when(kind.isin("violation", "closed"), 502)
         .when((kind == "error") & retryable, 504)
         .when(kind == "error", 502)
         .otherwise(504)
@@ -106,8 +106,11 @@ def outcome_of(kind: Column, retryable: Column, collected: Column) -> tuple[Colu
     return F.coalesce(outcome, F.lit("error")), F.coalesce(status, F.lit(504))
 
 
-def job_outcomes(decoded: DataFrame) -> DataFrame:
-    """One row per job. Only ``done`` with at least one review is complete; no end means unavailable."""
+def job_outcomes(decoded: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """One row per job. Only ``done`` with at least one review is complete; no end means unavailable (504).
+
+    ``closed`` lists jobs (``job``) whose source closed the stream by itself: without an end event these are 502.
+    """
     counted = (
         live_events(decoded)
         .groupBy("job")
@@ -120,6 +123,9 @@ def job_outcomes(decoded: DataFrame) -> DataFrame:
     joined = counted.join(_terminal_events(decoded), "job", "full_outer").withColumn(
         "collected", F.coalesce("collected", F.lit(0))
     )
+    if closed is not None:
+        joined = joined.join(closed.select("job", F.lit(True).alias("_closed")).distinct(), "job", "left")
+        joined = joined.withColumn("kind", F.coalesce("kind", F.when(F.col("_closed"), F.lit("closed"))))
     outcome, status = outcome_of(F.col("kind"), F.col("retryable"), F.col("collected"))
     return joined.select(
         "job",
@@ -261,10 +267,12 @@ def analyze_completed(store: DataFrame, outcomes: DataFrame, analyze: Callable[[
     """Score the whole collections of completed jobs, each exactly once.
 
     A job is one batch of one product. Its product key is scoped by the job, so that two collections of
-    the same product are never compared with each other.
+    the same product are never compared with each other. A review delivered again counts once, as it first came.
     """
     complete = outcomes.filter(F.col("outcome") == "complete").select("job").distinct()
-    rows = store.join(complete, "job", "left_semi")
+    keys = ["job", "platform", "product_id", "review_id"]
+    first = store.groupBy(*keys).agg(F.min("row_no").alias("row_no"))
+    rows = store.join(complete, "job", "left_semi").join(first, [*keys, "row_no"], "left_semi")
     scoped = rows.withColumn("_product", F.col("product_id")).withColumn(
         "product_id", F.concat_ws("\x1f", "job", "product_id")
     )
