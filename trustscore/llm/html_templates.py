@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustscore.llm.words import list_array
+from trustscore.session import materialized
 
 _TAG = re.compile(
     r"<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'|[\"'])*+)>",
@@ -217,11 +218,15 @@ class Page:
                     inside = inside or kind == "article"
             stack.extend((part, inside) for part in reversed(node.parts) if isinstance(part, Node))
         self.main = mains["article"] or mains["main"][:1] or mains["body"][:1] or [self.root]
-        names = subtree_names(self.host, page, self.root)
-        self.names = {id(node): names[id(node)] for node in self.candidates}
+        self.names: dict[int, int] = {}
         if templates:
+            self.names = self._names()
             self.dropped |= {number for number, name in self.names.items() if name in templates and number not in holders}
 
+    def _names(self) -> dict[int, int]:
+        names = subtree_names(self.host, self.page, self.root)
+        return {id(node): names[id(node)] for node in self.candidates}
+
     def _holders(self) -> set[int]:
         """The nodes around the first article (or main) that is not in a menu, sidebar or the like by its tag."""
         for node in nodes(self.root):
@@ -267,10 +272,10 @@ class Page:
 
     def template_names(self, main_length: int) -> list[int]:
         """Names of the subtrees that may be templates: not those that hold half of the main text."""
-        found = set()
+        found, names = set(), self._names()
         for node in self.candidates:
-            if id(node) in self.names and (id(node) in self.dropped or 2 * (node.end - node.start) < main_length):
-                found.add(self.names[id(node)])
+            if id(node) in self.dropped or 2 * (node.end - node.start) < main_length:
+                found.add(names[id(node)])
         return sorted(found)
 
 
@@ -333,7 +338,9 @@ def site_templates(named: DataFrame, min_pages: int) -> DataFrame:
 
 def extract(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages`` (``page_id, url, html``)."""
-    named = pages.select("page_id", "url", "html").mapInArrow(_named, "page_id long, main long, names array<long>")
+    named = materialized(
+        pages.select("page_id", "url", "html").mapInArrow(_named, "page_id long, main long, names array<long>"), "subtrees"
+    )
     templates = site_templates(named, min_pages)
     found = (
         named.select("page_id", F.explode("names").alias("name"))
