@@ -39,9 +39,9 @@ def check_source(source: Source) -> None:
     headers = [name for name in source.frame.columns if name.strip()]
     missing = sorted(required_columns(source) - set(headers))
     if missing:
-        raise ValueError(f"{source.name}: missing required columns: {', '.join(missing)}")
+        raise ValueError(f"source {source.name} lacks {', '.join(missing)}")
     if len(headers) != len(set(headers)):
-        raise ValueError(f"{source.name}: duplicate column headers")
+        raise ValueError(f"source {source.name} names a column twice")
 
 
 def _approved(source: Source) -> Column:

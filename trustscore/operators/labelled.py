@@ -93,8 +93,7 @@ def require_classes(examples: DataFrame) -> None:
     for name in C.LABELS:
         if counts[name] < C.MIN_CLASS_ROWS:
             raise InsufficientData(
-                f"Each class needs at least {C.MIN_CLASS_ROWS} unique examples for train/validation/test; "
-                f"{name} has {counts[name]}"
+                f"{counts[name]} distinct texts of {name} cannot fill three splits, which takes {C.MIN_CLASS_ROWS}"
             )
 
 
@@ -138,7 +137,7 @@ def require_weights(weights: DataFrame) -> dict[int, float]:
     """The two weights as numbers; both classes must be present."""
     values = {row.label: row.weight for row in weights.collect()}
     if any(value is None for value in values.values()):
-        raise InsufficientData("Class weights require both labels")
+        raise InsufficientData("one of the two labels has no rows to weigh")
     return values
 
 
