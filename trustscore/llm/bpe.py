@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from trustscore.llm.words import SLICE_BYTES
 
 SHORT = 96
-CACHED_WORDS = 60_000
+CACHED_WORDS = 100_000
 NONE = 1 << 30
 #: Fixed value: how byte-level vocabularies of this family split words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
