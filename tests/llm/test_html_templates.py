@@ -63,3 +63,17 @@ def test_long_and_broken_pages_end():
     assert len(read("<article>" + "<p>x &amp; y</p>" * 30_000 + "</article>").split("\n\n")) == 30_000
     assert read("<article>" + "<div>" * 5_000 + "deep") == "deep"
     assert read("<article>" + "<a " * 20_000)
+
+
+def test_attribute_values_of_any_length_are_whole():
+    long = "A1b2" * 5_000
+    for value in (f'"data:image/png;base64,{long}"', f'"{long} > <p>leak</p> {long}"', f"'{{\"hidden\": \"{long}\", \"class\": \"ad\"}}'"):
+        page = f'<body><p class="w">before</p><div data-x={value}><p class="x">text</p><p title="z">more</p></div>end</body>'
+        assert read(page) == "before\n\ntext\n\nmore\n\nend"
+
+
+def test_stray_quotes_end_with_their_tag():
+    assert read('<body><p title="5" disk">one</p><p class="x">two</p></body>') == "one\n\ntwo"
+    assert read("<body><a href='x>one</a> two</body>") == "one two"
+    assert len(read("<body>" + '<a =">" ' * 40_000)) > 0
+    assert len(read("<body>" + '<a b=">"' * 40_000 + "'>" * 40_000)) > 0

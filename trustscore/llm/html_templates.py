@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 from trustscore.llm.words import list_array
 from trustscore.session import materialized
 
-_TAG = re.compile(
-    r"<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'|[\"'])*+)>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+# Up to the next ">" or over the next "=" and its value; a quote that is never closed opens no value.
+_STEP = re.compile(r"[^>=]*+(?:(=)\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+")
+_ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(\S*+)))?+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
@@ -85,6 +84,27 @@ class Node:
     parts: list = field(default_factory=list)  # text pieces and child nodes
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the ">" of a tag is whose attributes begin at ``at``: the first outside quoted values of any length.
+
+    Where quoted values hold all that follow, it is the first of all. ``dead`` keeps the equals signs from which
+    no ">" was found, so that all tags of a page are walked in linear time.
+    """
+    here, passed = at, []
+    while True:
+        step = _STEP.match(page, here)
+        here, sign = step.end(), step.start(1)
+        if sign < 0:
+            if here < len(page):
+                return here
+            break
+        if sign in dead:
+            break
+        passed.append(sign)
+    dead.update(passed)
+    return page.find(">", at)
+
+
 def parse(page: str) -> Node:
     """A forgiving element tree; every node knows its range in the page."""
     root = Node("#root", 0)
@@ -100,6 +120,7 @@ def parse(page: str) -> Node:
                 return here
 
     position, last = 0, page.rfind(">") + 1
+    dead: set[int] = set()
     while match := _TAG.search(page, position, last):
         if match.start() > at:
             here.parts.append(page[at : match.start()])
@@ -107,7 +128,9 @@ def parse(page: str) -> Node:
         tag = match.group(2)
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, stop = tag.lower(), _tag_end(page, match.end(), dead)
+        attributes = page[match.end() : stop]
+        position = at = stop + 1
         if match.group(1):
             node = here
             while node is not root and node.tag != tag:
@@ -116,7 +139,7 @@ def parse(page: str) -> Node:
                     break
                 node = node.parent
             if node is not root:
-                close(node, match.end())
+                close(node, at)
             continue
         if tag in CLOSES_P or tag in ENDED_BY:
             enders = ENDED_BY.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
@@ -131,20 +154,19 @@ def parse(page: str) -> Node:
                 node = node.parent
             if found is not None:
                 close(found, match.start())
-        node = Node(tag, match.start(), here, opened=match.end())
-        attributes = match.group(3)
+        node = Node(tag, match.start(), here, opened=at)
         if attributes and not attributes.isspace():
             for name, *values in _ATTRIBUTE.findall(attributes):
-                value = "".join(values).lower()
-                if name.lower() == "role":
-                    node.role = value.strip()
-                elif name.lower() == "hidden":
+                name = name.lower()
+                if name == "role":
+                    node.role = "".join(values).strip().lower()
+                elif name == "hidden" or name == "aria-hidden" and "".join(values).strip().lower() != "false":
                     node.hidden = True
-                else:
-                    node.names += " " + value
+                elif name in ("class", "id"):
+                    node.names += " " + "".join(values).lower()
         here.parts.append(node)
-        if tag in VOID or (attributes or "").endswith("/") and tag not in FLOW | KEPT_TAGS | {"div", "section"}:
-            node.end = match.end()
+        if tag in VOID or attributes.endswith("/") and tag not in FLOW | KEPT_TAGS | {"div", "section"}:
+            node.end = at
         elif tag in RAW:
             stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, position)
             node.end = position = at = stop.end() if stop else len(page)
