@@ -77,3 +77,20 @@ def test_stray_quotes_end_with_their_tag():
     assert read("<body><a href='x>one</a> two</body>") == "one two"
     assert len(read("<body>" + '<a =">" ' * 40_000)) > 0
     assert len(read("<body>" + '<a b=">"' * 40_000 + "'>" * 40_000)) > 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body><div class="has-sidebar"><p>Long running text.</p><div class="sidebar"><p>side</p></div></div></body>', "Long running text."),
+        ('<div id="page-header-wrap"><div class="menu"><a>Home of it all</a></div><div class="has-ads">Running text.</div></div>', "Running text."),
+        ('<article><h1>T</h1><div class="entry-share-enabled"><p>Running text.</p></div><div class="share">s</div></article>', "T\n\nRunning text."),
+        ('<main><div class="content-with-notice">Running text.</div><div class="notice">n</div></main>', "Running text."),
+        ('<body><div class="menu"><a>One link</a> <a>Another link</a></div><p>Text.</p></body>', "Text."),
+        ('<article>Text.<div class="comments"><article>A long comment on it.</article></div></article>', "Text."),
+        ('<body><div class="sidebar">More here<article>Teaser</article></div><nav>m</nav></body>', "Teaser"),
+        ('<main><article>Text.</article><div class="related">More of it<article>Teaser</article></div></main>', "Text."),
+    ],
+)
+def test_no_name_deletes_most_of_the_text(page, text):
+    assert read(page) == text

@@ -7,7 +7,8 @@ headers, footers, sidebars, notices, adverts, forms, scripts, styles and comment
 left of the article (of ``main`` or the body where a page has none) is cut into blocks and its references are decoded.
 
 Running text of an article (paragraphs, headings, lists, tables) is never a template, however often it is copied, nor
-is a subtree that holds half of its page's main text.
+is a subtree that holds half of its page's main text. No element is deleted for its class or id that holds most of the
+running text of its article, or of its page where it is in none.
 
 Defined cases: null or empty html has empty text; a null url is a host of its own; markup that is never closed ends
 with its parent; repeated rows and rows that share a page_id are pages each; an empty table gives an empty result;
@@ -187,12 +188,18 @@ def nodes(root: Node) -> Iterator[Node]:
         stack.extend(part for part in reversed(node.parts) if isinstance(part, Node))
 
 
-def _unwanted(node: Node) -> bool:
-    if node.tag in DROPPED_TAGS or node.hidden or node.role in DROPPED_ROLES:
-        return True
+def _never_text(node: Node) -> bool:
+    return node.tag in DROPPED_TAGS or node.hidden or node.role in DROPPED_ROLES
+
+
+def _unwanted_name(node: Node) -> bool:
     return bool(node.names) and node.tag not in KEPT_TAGS and not DROPPED_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", node.names))
 
 
+def _kind(node: Node) -> str:
+    return node.tag if node.tag in ("article", "main") else "main" if node.role == "main" else ""
+
+
 def host_of(url: str | None) -> str:
     found = _HOST.match(url or "")
     return found.group(1).lower() if found else ""
@@ -223,12 +230,14 @@ class Page:
         self.dropped: set[int] = set()
         mains: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
         holders = self._holders()
+        bearers = self._bearers()
         stack = [(self.root, False)]
         self.candidates: list[Node] = []
         while stack:
             node, inside = stack.pop()
             if node is not self.root:
-                if id(node) not in holders and _unwanted(node) and not (inside is False and node.tag in KEPT_TAGS):
+                unwanted = _never_text(node) or _unwanted_name(node) and id(node) not in bearers
+                if id(node) not in holders and unwanted and not (inside is False and node.tag in KEPT_TAGS):
                     self.dropped.add(id(node))
                 if node.tag not in KEPT_TAGS | INLINE | VOID and not (inside and node.tag in FLOW):
                     self.candidates.append(node)
@@ -261,6 +270,41 @@ class Page:
                     return set(around)
         return set()
 
+    def _bearers(self) -> set[int]:
+        """Nodes with an unwanted name that hold most of the running text of the article (main, page) around them.
+
+        Links are no running text, and the text of an article or main counts for that alone.
+        """
+        order = list(nodes(self.root))
+        named = [node for node in order if _unwanted_name(node)]
+        if not named:
+            return set()
+        sizes: dict[int, int] = {}
+        for node in reversed(order):  # children come before their parents
+            size = 0
+            if not _never_text(node) and node.tag != "a":
+                for part in node.parts:
+                    if isinstance(part, str):
+                        size += len("".join(part.split()))
+                    elif not _kind(part):
+                        size += sizes[id(part)]
+            sizes[id(node)] = size
+        kinds, stack = set(), [self.root]
+        while stack:
+            node = stack.pop()
+            if not _never_text(node):
+                kinds.add(_kind(node))
+                stack.extend(part for part in node.parts if isinstance(part, Node))
+        shown = "article" if "article" in kinds else "main" if "main" in kinds else ""
+        found = set()
+        for node in named:
+            around = node.parent
+            while around is not self.root and not _kind(around):
+                around = around.parent
+            if _kind(around) == shown and 2 * sizes[id(node)] > sizes[id(around)]:
+                found.add(id(node))
+        return found
+
     def text(self) -> str:
         """Blocks of the main text, decoded and joined by an empty line."""
         blocks: list[str] = []
