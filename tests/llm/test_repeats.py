@@ -67,3 +67,17 @@ def test_entries_survive_packing():
     back = repeats.Entries.unpacked([entries.packed(), entries.packed()])
     assert back.keys.tolist() == [*keys, *keys] and back.hashes[3] == 2**63 - 1
     assert back.d.tolist()[:4] == [3, -9, 0, 1] and back.marks.tolist()[:4] == [0, -1, 1, 0]
+
+
+def test_what_blocks_decide_alone_never_meets_in_one_group():
+    import numpy as np
+
+    # The same passage in every block: all blocks share their smallest key.
+    groups, keys = [], np.arange(100, dtype=np.int64)
+    for block in range(20):
+        d = np.repeat(np.arange(3) + 3 * block, len(keys))
+        part = (np.tile(keys, 3), np.tile(keys, 3), d)
+        for batch in repeats._send([part], "stretches", 7):
+            groups += [(r["p"], len(repeats.Entries.unpacked([r["blob"]]).keys)) for r in batch.to_pylist() if r["local"]]
+    assert len(groups) == 20 == len({p for p, _ in groups})
+    assert all(count == 200 for _, count in groups)

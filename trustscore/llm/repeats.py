@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,7 +197,8 @@ def _send(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], level: str, ra
     if local.any():
         done = block[local]
         done.marks = state[local]
-        rows.append((int(done.keys[0]) % ranges, True, done.packed()))
+        blob = done.packed()
+        rows.append((xxhash.xxh64_intdigest(blob) >> 1, True, blob))  # a group of its own: it is decided already
     # A key that goes on is told once by the block, all others ask with their smallest document.
     first_of_key = np.concatenate([[True], block.keys[1:] != block.keys[:-1]])[: len(block.keys)]
     ask = block[(~local & ~spread) | (spread & first_of_key)]
@@ -226,7 +228,7 @@ def _in_blocks(entries: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], lev
 
 
 def _decide(key: tuple, table: pa.Table) -> pa.Table:
-    """Arrow function of one key range (or of what blocks decided alone): its decided entries."""
+    """Arrow function of one key range (or of what one block decided alone): its decided entries."""
     entries = Entries.unpacked(table.column("blob").to_pylist())
     if not key[1].as_py():
         order = np.lexsort((entries.d, entries.hashes, entries.keys))
