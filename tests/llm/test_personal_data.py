@@ -79,3 +79,26 @@ def test_empty_table_and_clashing_columns(spark):
     assert personal_data.find(documents(spark, [])).count() == 0
     frame = spark.createDataFrame([(None, "a@b.cd", 1), (None, "a@b.cd", 1)], "doc_id long, text string, base int")
     assert [r.n_email for r in personal_data.find(frame).collect()] == [1, 1]
+
+
+def test_evidence_reaches_every_repeat(spark):
+    base = [(i, f"call +1 ({i:03d}) 555-{7000 + i} or mail a{i}@mail.example.com, version 3.0 of 2024", "en", "a", 0) for i in range(60)]
+    later = "phone +442079460958" + " or call 442079460958" * 40
+    earlier = "442079460958 or call " * 40 + "phone +442079460958"
+    rows = base + [(1000, later, "en", "a", 0), (1001, earlier, "en", "a", 0)]
+    got = {r.doc_id: r for r in personal_data.find(documents(spark, rows)).collect()}
+    for doc, text in ((1000, later), (1001, earlier)):
+        assert {(s.kind, text[s.start : s.end]) for s in got[doc].added} == {("phone", "442079460958")}
+        assert len(got[doc].added) == 40
+    assert all(r.converged for r in got.values())
+
+
+def test_messages_run_until_they_settle(monkeypatch):
+    field = Field(np.zeros((1, LABELS)), np.zeros((LABELS, LABELS)), 3.0 * (2 * np.eye(LABELS) - 1))
+    unary = np.zeros((40, LABELS))
+    unary[0, 4] = 8.0
+    edges = np.array([[i, i + 1, SKIP] for i in range(39)])
+    got, open_ones = field.settled(unary, edges, np.zeros(40, dtype=np.int64))
+    assert not len(open_ones) and got[39].argmax() == 4 and got[39, 4] > 0.3
+    monkeypatch.setattr(personal_data, "ROUNDS", 3)
+    assert field.settled(unary, edges, np.zeros(40, dtype=np.int64))[1].tolist() == [0]

@@ -4,14 +4,15 @@ Patterns find the base spans; they always stay. The field has one node for every
 Neighbouring nodes share chain potentials; distant nodes of one document that repeat each other (the same token, or
 the same digits in another notation) share skip potentials. Unary weights and potentials are learned from counts over
 all documents, with the base spans as labels: a table of discrete feature sets, so the driver sees no text. Loopy
-message passing then makes labels agree across each document, and tokens that the patterns missed (a phone number
+message passing then runs until the messages of a document settle and makes labels agree across it, and tokens that the patterns missed (a phone number
 repeated without its plus sign, a card number with other separators) become spans too.
 
 An added span must be linked through repeats to a base span of its kind in the same document, hold a posterior of
 ``threshold``, and look whole (an at sign, four dotted parts, 12 digits of a card, 7 digits of a phone number).
 
-Defined cases: null and empty texts have no spans; a token repeated many times is linked occurrence by occurrence, so
-links grow with the text; without any base span in the table nothing is added; repeated rows are documents each; an
+Defined cases: null and empty texts have no spans; a token repeated many times is linked occurrence by occurrence,
+and each to the first occurrence under a base span, so links grow with the text and evidence does not fade with
+distance; a document whose messages do not settle in ``ROUNDS`` rounds keeps the last ones and has ``converged`` false; without any base span in the table nothing is added; repeated rows are documents each; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
-ROUNDS = 10
+ROUNDS = 2_000  # a document that has not settled by then is reported as not converged
+TOLERANCE = 1e-4  # of the largest change of a message in log space
 DAMPING = 0.5
 CLAMP = 8.0
-CHAIN, SKIP = 0, 1
+CHAIN, SKIP, ANCHOR = 0, 1, 2  # an anchor sends evidence to its repeats and takes none, so they cannot outvote it
 LIMITS = {"chain": 1.5, "skip": 3.0}
 
 _CANDIDATE = re.compile(r"[0-9@]")
@@ -120,7 +122,9 @@ class Graph:
         self.features: list[tuple[int, ...]] = []
         self.labels: list[int] = []  # label of the base span over the token, 0 if none
         self.edges: list[tuple[int, int, int]] = []  # from, to, CHAIN or SKIP
+        self.anchors: list[tuple[int, int, int]] = []  # from the first occurrence under a base span to its repeats
         last_seen: dict[str, int] = {}
+        seen: dict[str, list[int]] = {}
         previous_end, pointer = -1, 0
         for found in _TOKEN.finditer(text):
             token = found.group()
@@ -146,6 +150,12 @@ class Graph:
                 if key in last_seen:
                     self.edges.append((last_seen[key], here, SKIP))
                 last_seen[key] = here
+                seen.setdefault(key, []).append(here)
+        for places in seen.values():
+            first = next((number for number, place in enumerate(places) if self.labels[place]), None)
+            if first is not None:  # its neighbours in the chain are linked to it already
+                far = places[: max(0, first - 1)] + places[first + 2 :]
+                self.anchors += [(places[first], place, ANCHOR) for place in far]
 
     @staticmethod
     def _keys(token: str) -> set[str]:
@@ -184,7 +194,7 @@ class Field:
     """Weights of the random field."""
 
     def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.weights, self.potentials = weights, np.stack([chain, skip])
+        self.weights, self.potentials = weights, np.stack([chain, skip, skip])
 
     @staticmethod
     def _one_hot(features: np.ndarray) -> np.ndarray:
@@ -230,33 +240,41 @@ class Field:
         return self._one_hot(np.array(features, dtype=np.int64)) @ self.weights
 
     def marginals(self, unary: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Loopy sum-product message passing over all graphs of a batch at once."""
-        if not len(edges):
-            messages = np.zeros((0, LABELS))
-            sources = targets = np.zeros(0, dtype=np.int64)
-        else:
-            sources = np.concatenate([edges[:, 0], edges[:, 1]])
-            targets = np.concatenate([edges[:, 1], edges[:, 0]])
-            forward = self.potentials[edges[:, 2]]
-            potentials = np.concatenate([forward, forward.transpose(0, 2, 1)])
-            messages = np.zeros((len(sources), LABELS))
-            back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-
-        def beliefs() -> np.ndarray:
+        return self.settled(unary, edges, np.zeros(len(unary), dtype=np.int64))[0]
+
+    def settled(self, unary: np.ndarray, edges: np.ndarray, graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Loopy sum-product message passing over all graphs of a batch at once, each until its messages settle.
+
+        ``graph`` is the number of each node's graph. Returns the marginals and the numbers of the graphs that have
+        not settled after ``ROUNDS`` rounds.
+        """
+        final, live = unary.copy(), edges
+        messages = np.zeros((2, len(edges), LABELS))  # forward and backward
+        for _ in range(ROUNDS):
+            if not len(live):
+                break
             total = unary.copy()
-            np.add.at(total, targets, messages)
-            return total
-
-        for _ in range(ROUNDS if len(edges) else 0):
-            outgoing = beliefs()[sources] - messages[back]
-            scores = outgoing[:, :, None] + potentials
-            top = scores.max(axis=1, keepdims=True)
-            fresh = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
-            fresh -= fresh.max(axis=1, keepdims=True)
+            np.add.at(total, live[:, 1], messages[0])
+            np.add.at(total, live[:, 0], messages[1])
+            potentials = self.potentials[live[:, 2]]
+            fresh = np.empty_like(messages)
+            for way, source, table in ((0, 0, potentials), (1, 1, potentials.transpose(0, 2, 1))):
+                scores = (total[live[:, source]] - messages[1 - way])[:, :, None] + table
+                top = scores.max(axis=1, keepdims=True)
+                fresh[way] = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
+            fresh -= fresh.max(axis=2, keepdims=True)
+            fresh[1, live[:, 2] == ANCHOR] = 0
+            change = np.abs(fresh - messages).max(axis=(0, 2))
             messages = DAMPING * messages + (1 - DAMPING) * fresh
-        final = beliefs()
+            moving = np.isin(graph[live[:, 0]], graph[live[change > TOLERANCE, 0]])
+            if not moving.all():
+                np.add.at(final, live[~moving, 1], messages[0, ~moving])
+                np.add.at(final, live[~moving, 0], messages[1, ~moving])
+                live, messages = live[moving], messages[:, moving]
+        np.add.at(final, live[:, 1], messages[0])
+        np.add.at(final, live[:, 0], messages[1])
         final = np.exp(final - final.max(axis=1, keepdims=True))
-        return final / final.sum(axis=1, keepdims=True)
+        return final / final.sum(axis=1, keepdims=True), np.unique(graph[live[:, 0]])
 
 
 def _repeats_of_base(graph: Graph) -> list[set[int]]:
@@ -311,7 +329,7 @@ def _added(text: str, graph: Graph, marginals: np.ndarray, spans: list[Span], th
 
 
 def _searched(known: Field, threshold: float):
-    schema_names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "added"]
+    schema_names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "added", "converged"]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def shown(spans: list[Span]) -> list[dict]:
@@ -323,6 +341,7 @@ def _searched(known: Field, threshold: float):
                 batch = whole.slice(offset, 512)
                 base: list[list[Span]] = []
                 added: list[list[Span]] = []
+                converged = [True] * batch.num_rows
                 graphs: list[tuple[int, str, Graph]] = []
                 for number, value in enumerate(batch.column("text")):
                     text = value.as_py() or ""
@@ -339,9 +358,12 @@ def _searched(known: Field, threshold: float):
                     edges = [
                         (a + int(size), b + int(size), kind)
                         for size, (_, _, graph) in zip(sizes, graphs)
-                        for a, b, kind in graph.edges
+                        for a, b, kind in graph.edges + graph.anchors
                     ]
-                    marginals = known.marginals(unary, np.array(edges, dtype=np.int64).reshape(-1, 3))
+                    owner = np.repeat([number for number, _, _ in graphs], np.diff(sizes))
+                    marginals, open_ones = known.settled(unary, np.array(edges, dtype=np.int64).reshape(-1, 3), owner)
+                    for number in open_ones.tolist():
+                        converged[number] = False
                     for size, (number, text, graph) in zip(sizes, graphs):
                         own = marginals[size : size + len(graph.tokens)]
                         added[number] = _added(text, graph, own, base[number], threshold)
@@ -352,6 +374,7 @@ def _searched(known: Field, threshold: float):
                         *[pa.array(n, pa.int64()) for n in counts],
                         pa.array([shown(spans) for spans in base], span),
                         pa.array([shown(spans) for spans in added], span),
+                        pa.array(converged, pa.bool_()),
                     ],
                     names=schema_names,
                 )
@@ -369,9 +392,12 @@ def fit(documents: DataFrame) -> Field:
 
 
 def find(documents: DataFrame, known: Field | None = None, threshold: float = 0.9) -> DataFrame:
-    """``doc_id``, counts of base spans per kind, and the spans: ``base`` and ``added`` (kind, start, end in code points)."""
+    """``doc_id``, counts of base spans per kind, and the spans: ``base`` and ``added`` (kind, start, end in code points).
+
+    ``converged`` is false where the messages of the document did not settle.
+    """
     spans = "array<struct<kind: string, start: bigint, end: bigint>>"
     return documents.select("doc_id", "text").mapInArrow(
         _searched(known or fit(documents), threshold),
-        f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base {spans}, added {spans}",
+        f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base {spans}, added {spans}, converged boolean",
     )
