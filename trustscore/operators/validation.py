@@ -155,13 +155,23 @@ def validate_scores(flat: DataFrame) -> DataFrame:
 
 
 def validate_contract(flat: DataFrame) -> DataFrame:
-    """Rows whose index or level contradicts their signals."""
+    """Rows whose index or level contradicts their signals.
+
+    A null or NaN index or signal is neither a score nor missing (-1): a violation of ``rti_availability``. A null or
+    NaN index has no level.
+    """
+
+    def unknown(column: Column) -> Column:
+        return column.isNull() | F.isnan(column.cast("double"))
+
+    rti = F.col("rti")
     signals = [F.col(f"{name}_score") for name in C.SIGNALS]
     all_missing = (signals[0] == -1) & (signals[1] == -1) & (signals[2] == -1)
-    expected = F.when(F.col("rti") != -1, classify_rti(F.col("rti")))
+    broken = unknown(rti) | unknown(signals[0]) | unknown(signals[1]) | unknown(signals[2])
+    expected = F.when(~unknown(rti) & (rti != -1), classify_rti(rti))
     problems = F.array_compact(
         F.array(
-            F.when((F.col("rti") == -1) != all_missing, F.lit("rti_availability")),
+            F.when(broken | ((rti == -1) != all_missing), F.lit("rti_availability")),
             F.when(~F.col("level").eqNullSafe(expected), F.lit("level")),
         )
     )
