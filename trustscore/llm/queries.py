@@ -12,6 +12,7 @@ from trustscore.llm import (
     bpe,
     chat,
     html_templates,
+    manifest,
     mixing,
     personal_data,
     quality,
@@ -234,3 +235,89 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(name) for name in ("doc_id", "source", "lang", "n_chars"))
+
+
+@query(
+    "op11_merkle_manifest",
+    rf"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, source, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf,
+               CASE WHEN list_reduce(list_concat([4294967295], list_transform(range(8 * strlen(CAST(doc_id AS VARCHAR))),
+                                  lambda i: (ascii(substr(CAST(doc_id AS VARCHAR), i // 8 + 1, 1)) >> (i % 8)) & 1)),
+                                lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))) % 2 = 1
+                    THEN sha256({_LEAF} || {_FIELD.format("replace(text, chr(10), '')")}) END AS found
+        FROM documents
+    ),
+    placed AS (
+        SELECT *, coalesce('=' || source, '-') AS tree, count(*) OVER (PARTITION BY source) AS n,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos
+        FROM d
+    ),
+    low AS (
+        SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+        UNION ALL
+        SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM low WHERE n > 1 GROUP BY tree, level, pos // 3, n
+    ),
+    subroots AS (SELECT tree, level AS height, digest FROM low WHERE n = 1),
+    high AS (
+        SELECT 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, digest FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM high WHERE n > 1 GROUP BY level, pos // 3, n
+    ),
+    places AS (SELECT tree, height, digest, row_number() OVER (ORDER BY tree) - 1 AS place FROM subroots),
+    steps AS (
+        SELECT a.tree, 0 AS part, a.level, a.pos,
+               coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS before,
+               coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS after
+        FROM low a JOIN low b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3
+        WHERE a.n > 1 GROUP BY ALL
+        UNION ALL
+        SELECT '', 1, a.level, a.pos,
+               coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), ''),
+               coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '')
+        FROM high a JOIN high b ON a.level = b.level AND a.pos // 3 = b.pos // 3
+        WHERE a.n > 1 GROUP BY ALL
+    ),
+    walk AS (
+        SELECT p.tree, p.pos AS leaf_pos, 0 AS part, 0 AS level, p.pos, s.height, s.place,
+               coalesce(p.found, p.leaf) AS own, '' AS proof
+        FROM placed p JOIN places s ON p.tree = s.tree
+        UNION ALL
+        SELECT w.tree, w.leaf_pos, w.part, w.level + 1, w.pos // 3, w.height, w.place,
+               sha256(t.before || w.own || t.after), w.proof || t.before || t.after
+        FROM (SELECT tree, leaf_pos, CASE WHEN part = 0 AND level = height THEN 1 ELSE part END AS part,
+                     CASE WHEN part = 0 AND level = height THEN 0 ELSE level END AS level,
+                     CASE WHEN part = 0 AND level = height THEN place ELSE pos END AS pos, height, place, own, proof
+              FROM walk) w
+        JOIN steps t ON t.tree = CASE WHEN w.part = 0 THEN w.tree ELSE '' END
+                    AND t.part = w.part AND t.level = w.level AND t.pos = w.pos
+    ),
+    folded AS (
+        SELECT tree, leaf_pos, arg_max(own, length(proof) + part * 1000000 + level) AS folded_root,
+               arg_max(proof, length(proof) + part * 1000000 + level) AS proof
+        FROM walk GROUP BY tree, leaf_pos
+    )
+    SELECT p.doc_id, p.leaf, s.digest AS subroot, (SELECT digest FROM high WHERE n = 1) AS root,
+           sha256(f.proof) AS proof_sha256, f.folded_root,
+           f.folded_root = (SELECT digest FROM high WHERE n = 1) AS verified
+    FROM placed p JOIN places s ON p.tree = s.tree JOIN folded f ON f.tree = p.tree AND f.leaf_pos = p.pos
+    """,
+)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    proved = manifest.prove(table(spark, folder, "documents"), F.replace("text", F.lit("\n"), F.lit("")), tampered)
+    return proved.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(manifest.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
