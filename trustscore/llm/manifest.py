@@ -118,14 +118,19 @@ def roots_of(levels: list[DataFrame]) -> DataFrame:
     return roots
 
 
-def descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+def descend(levels: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
     """The nodes of the lowest level with ``path`` to the end of the proof and the digest ``subroot`` of their tree.
 
-    ``above`` holds ``tree, subroot, path``: for each tree its root and the path from there on.
+    ``above`` holds ``tree, subroot, path``: for each tree its root and the path from there on. Without it the
+    proofs end at the roots of the trees.
     """
     paths = None
     for level in reversed(levels):
-        here = level.where("n = 1").join(above, "tree")
+        ends = level.where("n = 1")
+        if above is None:
+            here = ends.select("*", F.col("digest").alias("subroot"), F.expr(_NO_PATH).alias("path"))
+        else:
+            here = ends.join(above, "tree")
         if paths is not None:
             parents = paths.select("tree", F.col("at").alias("parent"), "subroot", "path")
             step = F.array(F.struct("before", "after"))
@@ -184,10 +189,8 @@ def prove(documents: DataFrame, tampered_text: Column, tampered: Column) -> Data
     upper = climb(_placed(sources))
     end = roots_of(upper).first()
     root = shown(F.lit(bytes(end["digest"]) if end else None).cast("binary"))
-    top = F.lit("").alias("tree"), F.lit(None).cast("binary").alias("subroot"), F.expr(_NO_PATH).alias("path")
-    whole = documents.sparkSession.range(1).select(*top)
     above = materialized(
-        descend(upper, whole).select(F.col("doc_id").alias("tree"), F.col("digest").alias("subroot"), "path"), "subroots"
+        descend(upper).select(F.col("doc_id").alias("tree"), F.col("digest").alias("subroot"), "path"), "subroots"
     )
     proved = descend(levels, above)
     return proved.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trustscore.llm import (
     bpe,
     chat,
+    decontamination,
     html_templates,
     manifest,
     mixing,
@@ -321,3 +322,51 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+_PLAIN_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op12_benchmark_decontamination",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN_WORDS} AS words FROM documents),
+    i AS (SELECT item_id, {_PLAIN_WORDS} AS words FROM benchmark),
+    item_windows AS (
+        SELECT DISTINCT item_id, span, array_to_string(words[pos:pos + span - 1], ' ') AS content
+        FROM (SELECT item_id, words, least(10, len(words)) AS span, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS pos
+              FROM i WHERE len(words) > 0)
+    ),
+    hits AS (
+        SELECT r, pos, t.span, item_id
+        FROM (SELECT r, span, pos, array_to_string(words[pos:pos + span - 1], ' ') AS content
+              FROM (SELECT r, words, span, unnest(range(1, len(words) - span + 2)) AS pos
+                    FROM d, (SELECT DISTINCT span FROM item_windows) WHERE len(words) >= span)) t
+        JOIN item_windows w ON w.span = t.span AND w.content = t.content
+    ),
+    inside AS (
+        SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(pos, pos + span)) AS word FROM hits) GROUP BY r
+    ),
+    items AS (
+        SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+    )
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN inside USING (r) LEFT JOIN items USING (r)
+    """,
+)
+def op12_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
