@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trustscore.llm import (
     bpe,
     chat,
+    collocations,
     decontamination,
     html_templates,
     manifest,
@@ -370,3 +371,48 @@ def op12_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op13_phrase_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ),
+    split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+    grams AS (
+        SELECT lang, size, array_to_string(words[pos:pos + size - 1], ' ') AS phrase
+        FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+              FROM split, (SELECT unnest([1, 2, 3]) AS size) WHERE len(words) >= size)
+    ),
+    f AS (SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS words FROM grams GROUP BY lang, size, phrase),
+    total AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+    candidates AS (SELECT * FROM f WHERE size > 1 AND f >= 10),
+    cuts AS (
+        SELECT c.lang, c.phrase, c.f AS a, c.size, k, l.f AS l, r.f AS r,
+               (CAST(1000000 AS HUGEINT) * c.f * c.f) // (CAST(l.f AS HUGEINT) * r.f) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:k], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[k + 1:], ' ')
+    ),
+    lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    covered AS (
+        SELECT DISTINCT s.lang, s.phrase
+        FROM candidates s JOIN (SELECT lang, f, array_to_string(words[pos:pos + 1], ' ') AS phrase
+                                FROM (SELECT *, unnest([1, 2]) AS pos FROM candidates WHERE size = 3)) b
+          ON s.lang = b.lang AND s.phrase = b.phrase
+        WHERE 100 * b.f >= 50 * s.f
+    ),
+    ranked AS (
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+        FROM lowest ANTI JOIN covered USING (lang, phrase)
+    )
+    SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+           CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
