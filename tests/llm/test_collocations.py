@@ -69,7 +69,7 @@ def test_one_pair_in_most_rows_and_small_slices(spark, monkeypatch):
     draw = random.Random(4)
     rows = [(i, f"hot pair v{draw.randrange(40)} hot u{draw.randrange(30)} z{i % 4}", "en", "s", None) for i in range(1500)]
     heads, pairs = collocations.frequent_beginnings(documents(spark, rows))
-    assert "en\thot" in heads and "en\thot pair" in pairs
+    assert "hot" in heads and "hot pair" in pairs
     assert got(documents(spark, rows).repartition(7)) == plain(rows)
 
 

@@ -40,7 +40,7 @@ HOT_SHARE = 4_000  # those begin more than one in this many of the sampled windo
 SALTS = 256
 _BUCKETS = 64
 _SLICE = 6_000_000
-_TAB, _SPACE = pa.scalar("\t", pa.large_string()), pa.scalar(" ", pa.large_string())
+_SPACE = pa.scalar(" ", pa.large_string())
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -74,7 +74,7 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(words: pa.Array, row: np.ndarray, piece: np.ndarray, langs: pa.Array) -> pa.RecordBatch:
-    """Distinct windows ``lang TAB first SPACE second SPACE third`` (missing words empty) and their counts."""
+    """Distinct windows ``first SPACE second SPACE third`` (missing words empty) of each language and their counts."""
     coded = words.dictionary_encode()
     first = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
     lang_coded = langs.dictionary_encode()
@@ -96,11 +96,11 @@ def _counted(words: pa.Array, row: np.ndarray, piece: np.ndarray, langs: pa.Arra
     head_of, second = np.divmod(pair_values[pair_of], base)
     lang_of, start = np.divmod(head_values[head_of], base)
     spelled = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary])
-    head = pc.binary_join_element_wise(
-        lang_coded.dictionary.cast(pa.large_string()).take(pa.array(lang_of)), spelled.take(pa.array(start)), _TAB
+    window = pc.binary_join_element_wise(*[spelled.take(pa.array(words)) for words in (start, second, third)], _SPACE)
+    return pa.RecordBatch.from_arrays(
+        [lang_coded.dictionary.take(pa.array(lang_of)).cast(pa.string()), window.cast(pa.string()), pa.array(counts, pa.int64())],
+        names=["lang", "window", "n"],
     )
-    window = pc.binary_join_element_wise(head, spelled.take(pa.array(second)), spelled.take(pa.array(third)), _SPACE)
-    return pa.RecordBatch.from_arrays([window.cast(pa.string()), pa.array(counts, pa.int64())], names=["window", "n"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,38 +114,27 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_windows(documents: DataFrame) -> DataFrame:
-    """``window, n``: longest windows, combined within a slice of a task only."""
+    """``lang, window, n``: longest windows, combined within a slice of a task only."""
     rows = documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    return rows.mapInArrow(_windows, "window string, n long")
-
-
-def _last(text: Column, mark: str) -> Column:
-    return F.substring_index(text, mark, -1)
-
-
-def _without(text: Column, last: Column) -> Column:
-    """``text`` without its last part and the mark before it."""
-    return F.substring(text, F.lit(1), F.char_length(text) - F.char_length(last) - 1)
+    return rows.mapInArrow(_windows, "lang string, window string, n long")
 
 
 def _parts() -> tuple[Column, Column, Column, Column]:
-    """``lang TAB first``, with the second word too, the second and the third word of ``window``."""
-    third = _last(F.col("window"), " ")
-    pair = _without(F.col("window"), third)
-    second = _last(pair, " ")
-    return _without(pair, second), pair, second, third
+    """The first word of ``window``, its first two, its second and its third."""
+    pair = F.substring_index("window", " ", 2)
+    return F.substring_index("window", " ", 1), pair, F.substring_index(pair, " ", -1), F.substring_index("window", " ", -1)
 
 
 def frequent_beginnings(documents: DataFrame) -> tuple[list[str], list[str]]:
     """First words and first pairs of more than one in ``HOT_SHARE`` windows of a sample."""
     rows = documents.count()
     sampled = documents.sample(fraction=min(1.0, SAMPLE / max(rows, 1)), seed=13)
-    head, _, second, _ = _parts()
-    counted = count_windows(sampled).select(head.alias("head"), second.alias("second"), "n")
-    pairs = materialized(counted.groupBy("head", "second").agg(F.sum("n").alias("n")), "sampled-pairs")
+    first, pair, _, _ = _parts()
+    counted = count_windows(sampled).select(first.alias("first"), pair.alias("pair"), "n")
+    pairs = materialized(counted.groupBy("first", "pair").agg(F.sum("n").alias("n")), "sampled-pairs")
     least = (pairs.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
-    heads = pairs.groupBy("head").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("head")
-    pairs = pairs.where(F.col("n") > least).select(F.concat_ws(" ", "head", "second"))
+    heads = pairs.groupBy("first").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("first")
+    pairs = pairs.where(F.col("n") > least).select("pair")
     return [row[0] for row in heads.collect()], [row[0] for row in pairs.collect()]
 
 
@@ -155,38 +144,47 @@ def phrase_counts(documents: DataFrame, min_count: int = MIN_COUNT) -> DataFrame
     Missing words are null; the row of a language has no word and any count.
     """
     hot_heads, hot_pairs = frequent_beginnings(documents)
-    head, pair, second, third = _parts()
+    first, pair, second, third = _parts()
     # Below zero: all windows of the first word are together; up to SALTS: all of the pair are; above: neither.
     salt = (
         F.when(pair.isin(hot_pairs), F.pmod(F.xxhash64(third), F.lit(SALTS)) + SALTS)
-        .when(head.isin(hot_heads), F.pmod(F.xxhash64(second), F.lit(SALTS)))
+        .when(first.isin(hot_heads), F.pmod(F.xxhash64(second), F.lit(SALTS)))
         .otherwise(-1)
         .cast("int")
     )
-    longest = (
-        count_windows(documents)
-        .repartition(head, salt)
-        .select(head.alias("head"), salt.alias("salt"), second.alias("second"), third.alias("third"), "n")
-        .groupBy("head", "salt", "second", "third")
+    met = count_windows(documents).repartition(F.col("lang"), first, salt)
+    # Each window counts for itself and, without its third word, for its pair.
+    counted = (
+        met.select("lang", first.alias("first"), salt.alias("salt"), second.alias("second"), third.alias("third"), "n")
+        .select("lang", "first", "salt", "second", F.explode(F.array("third", F.lit(None))).alias("third"), "n")
+        .groupBy("lang", "first", "salt", "second", "third")
         .agg(F.sum("n").alias("f"))
     )
-    first = _last(F.col("head"), "\t")
-    lang = _without(F.col("head"), first)
-    pairs = longest.groupBy("head", "salt", "second").agg(F.sum("f").alias("f"))
+    is_pair = F.col("third").isNull()
     matters = (F.col("salt") >= SALTS) | (F.col("f") >= min_count)
-    shorter = (
-        pairs.select(
-            lang.alias("lang"), first.alias("first"), F.when(matters, F.col("second")).otherwise("").alias("second"), "f"
-        )
-        .rollup("lang", "first", "second")
-        .agg(F.sum("f").alias("f"), F.grouping_id().alias("missing"))
-        .where(((F.col("missing") <= 1) & (F.col("f") >= min_count)) | (F.col("missing") == 3))
-        .select("lang", "first", "second", F.lit(None).cast("string").alias("third"), "f")
+    no_second = F.lit(" ")
+    parts = counted.where(is_pair | ((F.col("third") != "") & (F.col("f") >= min_count))).select(
+        "lang",
+        "first",
+        F.when(is_pair & ~matters, no_second).otherwise(F.concat_ws(" ", "second", F.coalesce("third", F.lit("")))).alias("rest"),
+        "f",
+        F.when(is_pair, F.col("f")).otherwise(0).alias("share"),
+    )
+    # Whole phrases stand for themselves; words and languages are the sums of their pairs.
+    summed = parts.rollup("lang", "first", "rest").agg(
+        F.sum("f").alias("own"), F.sum("share").alias("share"), F.grouping_id().alias("missing")
     )
-    whole = longest.where(F.col("f") >= min_count).select(lang.alias("lang"), first.alias("first"), "second", "third", "f")
-    # Padded phrases leave only after the table is written: sooner, the condition would make two exchanges of one.
-    counts = materialized(shorter.unionByName(whole), "phrase-counts")
-    return counts.where("coalesce(second, '-') != '' and coalesce(third, '-') != ''")
+    second = F.substring_index("rest", " ", 1)
+    third = F.nullif(F.substring_index("rest", " ", -1), F.lit(""))
+    counts = summed.select(
+        "lang",
+        "first",
+        second.alias("second"),
+        third.alias("third"),
+        F.when(F.col("missing") == 0, F.col("own")).otherwise(F.col("share")).alias("f"),
+        "missing",
+    ).where((F.col("missing") == 3) | ((F.col("missing") < 3) & (F.col("f") >= min_count) & (F.coalesce("second", F.lit("-")) != "")))
+    return materialized(counts.drop("missing"), "phrase-counts")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
