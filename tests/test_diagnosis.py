@@ -1,4 +1,5 @@
 import random
+import time
 import re
 from collections import Counter
 
@@ -24,6 +25,18 @@ def scan(tokens):
     return triple, covering
 
 
+def test_block_repetition_of_a_million_tokens_over_two_symbols():
+    """Thue-Morse has no block three times in a row; every cheap shortcut by equal symbols fails on it."""
+    word = ["a", "b"]
+    while len(word) < 1 << 20:
+        word += ["b" if token == "a" else "a" for token in word]
+    started = time.time()
+    assert block_repetition(word) == (False, False)
+    assert time.time() - started < 60
+    assert block_repetition(word[: 1 << 16] * 2) == (False, True)
+    assert block_repetition(word[: 1 << 12] * 3)[0]
+
+
 def test_block_repetition_against_a_scan():
     rng = random.Random(3)
     for _ in range(4000):

@@ -11,9 +11,7 @@ from trustscore.functions.repetition import token_repetition
 from trustscore.operators import diagnosis_join
 from trustscore.operators.validation import enforce
 
-SENTENCE_BREAK = r"[.!?。！？]+|\n+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-WORD = r"[가-힣A-Za-z0-9%]+"
 
 
 def _text(column: str) -> Column:
@@ -32,7 +30,7 @@ def _thrice(sentences: Column) -> Column:
 
 
 def _sentences(content: Column, clean=text.collapse_spaces) -> Column:
-    return F.transform(F.split(content, SENTENCE_BREAK), clean)
+    return F.transform(F.split(content, C.SENTENCE_BREAK), clean)
 
 
 def repetition_flags(rows: DataFrame, column: str = "review") -> DataFrame:
@@ -42,6 +40,9 @@ def repetition_flags(rows: DataFrame, column: str = "review") -> DataFrame:
     and ignores case. The token rules share one pass over the text.
     """
     content = _text(column)
+    # A file may be one partition, and a row here is much work: spread the rows before the costly part.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(partitions, F.xxhash64(content))
     # Splitting and folding commute with sentence breaks, so the whole text is folded once.
     return (
         rows.withColumn("_flat", text.collapse_spaces(content))
@@ -107,7 +108,7 @@ def _is_heading(line: Column) -> Column:
 
 
 def _is_item(line: Column) -> Column:
-    words = F.regexp_count(line, F.lit(WORD))
+    words = F.regexp_count(line, F.lit(C.WORD))
     ends_sentence = line.rlike(text.java_pattern(f"{C.SENTENCE_ENDING}\\z"))
     return words.between(1, 6) & F.length(line).between(2, 40) & ~ends_sentence
 
