@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from trustscore.operators import network_signal
+from trustscore.operators import network_signal, similarity_sums
 
 
 def canonical(value):
@@ -97,3 +97,30 @@ def test_targets_agree_with_the_whole_product(spark):
             assert other.top3_mean_similarity == pytest.approx(row.top3_mean_similarity)
             assert other.similarity_mean == pytest.approx(row.similarity_mean)
     assert single["alone"].network_unavailable_reason == "no_comparison_reviews"
+
+
+def test_sums_without_pairs_give_the_mean_of_all_pairs(spark):
+    rng = random.Random(11)
+    products = {"one": random_contents(rng, 60), "two": random_contents(rng, 20), "lonely": ["only one long review text here"], "copies": ["the same long text"] * 4}
+    rows = [(p, f"{p}{i}", c, i) for p, contents in products.items() for i, c in enumerate(contents)]
+    frame = spark.createDataFrame(rows, "product_id string, review_id string, content string, row_no long")
+    found = {r.review_id: r for r in similarity_sums.similarity_sums(frame).collect()}
+    assert len(found) == len(rows)
+    for product, contents in products.items():
+        for i, sims in enumerate(pair_evidence(contents, "hybrid")):
+            row = found[f"{product}{i}"]
+            assert row.compared_review_count == len(sims)
+            if sims:
+                assert row.similarity_mean == pytest.approx(sum(sims) / len(sims), abs=1e-9)
+            else:
+                assert row.similarity_mean is None
+
+
+def test_sums_of_many_short_reviews_of_one_product(spark):
+    """Twenty thousand reviews of one product: two hundred million pairs, none of them formed."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    rows = [("p", f"r{i}", " ".join(rng.choices(words, k=rng.randint(3, 8))), i) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "product_id string, review_id string, content string, row_no long")
+    compared = similarity_sums.similarity_sums(frame).selectExpr("min(compared_review_count)", "max(similarity_mean)").first()
+    assert compared[0] in (0, 19_999) and 0 < compared[1] < 1

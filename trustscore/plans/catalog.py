@@ -26,6 +26,7 @@ from trustscore.operators import (
     meta,
     model,
     network_signal,
+    similarity_sums,
     text_signal,
     validation,
 )
@@ -469,13 +470,13 @@ def p6(t: Tables) -> DataFrame:
 
 @query(
     "P7_validate_contract",
-    f"""with {PUBLIC_SQL}, valid as (select * from public where not isnan(rti) and network_score is not null)
-select review_id, 'rti_availability' as violation from valid where (rti = -1) <> (text_score = -1 and behavior_score = -1 and network_score = -1)
-union all select review_id, 'level' from valid where level is distinct from case when rti = -1 then null else {sql_level('rti')} end""",
+    f"""with {PUBLIC_SQL}
+select review_id, 'rti_availability' as violation from public
+where isnan(rti) or network_score is null or (rti = -1) <> (text_score = -1 and behavior_score = -1 and network_score = -1)
+union all select review_id, 'level' from public where level is distinct from case when rti = -1 or isnan(rti) then null else {sql_level('rti')} end""",
 )
 def p7(t: Tables) -> DataFrame:
-    rows = _public_rows(t).filter(~F.isnan("rti") & F.col("network_score").isNotNull())
-    return validation.validate_contract(rows)
+    return validation.validate_contract(_public_rows(t))
 
 
 @query(
@@ -904,6 +905,12 @@ def n8(t: Tables) -> DataFrame:
     return _features(network_signal.user_similarity_signal(t.reviews(), _length_similarity))
 
 
+@query("N9_similarity_sums", f"with {evidence_sql('hybrid')} select cast(id as varchar) as review_id, p as product_id, round(smean, 6) as mean, compared from features")
+def n9_sums(t: Tables) -> DataFrame:
+    sums = similarity_sums.similarity_sums(t.reviews())
+    return sums.select("review_id", "product_id", r6("similarity_mean").alias("mean"), F.col("compared_review_count").alias("compared"))
+
+
 @query("N9_network_features", f"with {evidence_sql('hybrid')} select p as product_id, count(smax) as scored, sum(k)::bigint as similar, round(max(smax), 6) as largest, round(avg(smean), 6) as mean, round(avg(top3), 6) as top3, sum(compared)::bigint as compared from features group by 1")
 def n9(t: Tables) -> DataFrame:
     return network_signal.network_signal(t.reviews()).groupBy("product_id").agg(
@@ -1646,17 +1653,15 @@ def w6(t: Tables) -> DataFrame:
 
 @query(
     "W7_dedup_reviews",
-    f"""with {EVENTS_SQL} select job, count(*) as events, count(*) filter (is_review) as reviews from valid group by 1""",
+    f"""with {EVENTS_SQL} select job, count(*) + count(*) filter (event = 'review' and not is_review) as events, count(*) filter (is_review) as reviews from valid group by 1""",
 )
 def w7(t: Tables) -> DataFrame:
-    """Every event delivered twice, the second time under a later number."""
+    """Every review event delivered twice, the second time under a later number; one without a valid review stays twice."""
     events = t.job_events()
     again = events.filter(F.col("event") == "review").withColumn("seq", F.col("seq") + 1_000_000_000_000)
     decoded = stream_events.decode_events(events.unionByName(again))
-    first = F.col("seq") < 1_000_000_000_000
     return (
         stream_events.dedup_reviews(decoded)
-        .filter(first | F.col("review").isNotNull())
         .groupBy("job")
         .agg(F.count("*").alias("events"), F.count_if(F.col("review").isNotNull()).alias("reviews"))
     )

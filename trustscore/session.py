@@ -25,23 +25,21 @@ def local_session(app: str = "trustscore", cores: str = "*", shuffle_partitions:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        # One machine only: any folder of it is shared by driver and executors.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trustscore-"))
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    temporary folder; on a cluster a missing setting is an error, because a machine-local folder would
-    not survive the loss of an executor.
+    It is the session's ``spark.checkpoint.dir``, or the checkpoint folder its owner gave the context. Without one
+    this is an error: a machine-local folder would not survive the loss of an executor.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="trustscore-")
-    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
