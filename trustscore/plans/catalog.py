@@ -1484,6 +1484,24 @@ def x1(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "X1_optimality",
+    f"""with {SPLITS} select c.r as regularization, count(*) as train_rows, c.r = 0.01 as optimal_at_001, c.r = 0.1 as optimal_at_01
+from splits, (values (0.01::double), (0.1::double)) c(r) where split = 'train' group by 1""",
+)
+def x1_optimality(t: Tables) -> DataFrame:
+    """Each fit is the minimum of its own loss and not of the other one's; slopes are taken over all training rows."""
+    _, train = _fitted(t)
+    weights = labelled.require_weights(labelled.class_weights(train))
+    rows = train.count()
+    proved = []
+    for fitted_with in (0.01, 0.1):
+        fitted = model.fit_text_model(train, weights, fitted_with)
+        proved.append((fitted_with, rows, *[model.is_optimal(model.optimality(fitted, train, weights, r)) for r in (0.01, 0.1)]))
+    schema = "regularization double, train_rows long, optimal_at_001 boolean, optimal_at_01 boolean"
+    return t.spark.createDataFrame(proved, schema)
+
+
 @query(
     "X2_select_model",
     f"""with {SPLITS} select true as best, count(*) filter (label = 0) as normal, count(*) filter (label = 1) as suspicious
