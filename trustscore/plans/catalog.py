@@ -1252,7 +1252,7 @@ def e3(t: Tables) -> DataFrame:
 
 
 def _attached_scored(t: Tables) -> DataFrame:
-    return _attached(t, check=False)[1].withColumn("probability", (F.col("master_id").cast("bigint") * 37) % 101 / 100.0)
+    return _attached(t)[1].withColumn("probability", (F.col("master_id").cast("bigint") * 37) % 101 / 100.0)
 
 
 @query(
@@ -1273,7 +1273,7 @@ select n.diagnostic_type, (select count(*) from diagnoses d where n.diagnostic_t
 from names n left join attached a on n.diagnostic_type in ('TOTAL', a.diagnostic_type) group by 1""",
 )
 def e5(t: Tables) -> DataFrame:
-    diagnoses, attached = _attached(t, check=False)
+    diagnoses, attached = _attached(t)
     return evaluation.type_distribution(diagnoses, attached)
 
 
@@ -1405,8 +1405,8 @@ strong as (select a.master_id, a.review, {sql_pattern('a.review', "concat_ws(' '
 
 
 def _strong(t: Tables) -> DataFrame:
-    master = diagnosis_join.prepare_master_rows(t.master(), check=False)
-    return diagnosis.usable_text_strong(master, readers.load_diagnoses(t.diagnoses(), check=False))
+    master = diagnosis_join.prepare_master_rows(t.master())
+    return diagnosis.usable_text_strong(master, readers.load_diagnoses(t.diagnoses()))
 
 
 @query("G9_usable_text_strong", f"with {STRONG_SQL} select master_id, md5(review) as review, pattern as p_text_pattern, pattern <> 'AMBIGUOUS_TEXT_STRONG' as candidate from strong")
