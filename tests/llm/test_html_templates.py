@@ -52,6 +52,36 @@ def test_recurring_subtrees_go_and_running_text_stays(spark):
     assert all("Join us today" in got[100 + i] for i in range(3))
 
 
+def by_hand(rows, min_pages, share):
+    """Texts after deleting what recurs, counted over all pages at once without Spark."""
+    pages = [html_templates.Page(url, page) for _, url, page in rows]
+    seen, mains = {}, {}
+    for page in pages:
+        text = page.text()
+        mains.setdefault(page.host, set()).add(text)
+        for name in page.template_names(len(text)):
+            seen.setdefault((page.host, name), set()).add(text)
+    gone = {name for (host, name), texts in seen.items() if len(texts) >= max(min_pages, share * len(mains[host]))}
+    return [html_templates.Page(url, page, frozenset(gone)).text() for _, url, page in rows]
+
+
+def test_templates_differ_in_ids_links_and_numbers_and_follow_the_host(spark):
+    rows = []
+    for i in range(60):
+        box = f'<div id="b{i}" class="box post-{i} wide"><a href="/next/{i}" data-at="{i}">Read  on</a></div>'
+        rare = '<div class="q">Seen seldom.</div>' if i < 5 else ""
+        rows.append((i, f"http://one.example/{i}", f"<body>{box}<div><p>Own story number {i} told at some length.</p></div>{rare}</body>"))
+        rows.append((None, f"http://two.example/{i % 5}", f"<body><p>Another story {i % 5} of its own.</p><div class='w v'>Shop\nnow</div></body>"))
+    frame = spark.createDataFrame(rows, PAGES)
+    for share, seldom in ((0.05, False), (0.2, True)):
+        got = sorted(r.text for r in html_templates.extract(frame, 4, share).collect())
+        assert got == sorted(by_hand(rows, 4, share))
+        assert not any("Read on" in text or "Shop now" in text for text in got)
+        assert any("Seen seldom." in text for text in got) is seldom
+    kept = [r.text for r in html_templates.extract(frame, 10**9).collect()]
+    assert sum("Read on" in text or "Shop now" in text for text in kept) == len(rows)  # every page is changed by the deletion
+
+
 def test_edges(spark):
     rows = [(None, None, None, 1), (None, None, "<p>x</p>", 2), (5, "", "<p>y</p>", 3), (5, "http://u", "<p>y</p>", 3)]
     frame = spark.createDataFrame(rows, PAGES + ", names int")

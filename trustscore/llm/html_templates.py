@@ -1,17 +1,19 @@
 """Main text of web pages by site template removal.
 
-Every container element is named by a hash of its whole subtree and its host. Spark counts on how many pages with
-different main texts each name stands; a subtree that recurs on ``min_pages`` of them is a template of the site and is
-deleted from every page of that host. What recurs too rarely to be counted is recognised by what it is: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by tag, role, class or id. What is
-left of the article (of ``main`` or the body where a page has none) is cut into blocks and its references are decoded.
+Every container element is named by a hash of its host and its whole subtree: tags, roles, classes and text. Ids,
+links and all other attributes are left out, and so are the digits in class names, because they differ from page to
+page. Spark counts on how many pages with different main texts each name stands; a subtree that recurs on ``share`` of
+the different pages of its host, ``min_pages`` at least, is a template of the site and is deleted from every page of
+that host. What recurs too rarely to be counted is recognised by what it is: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and comments by tag, role, class or id. What is left of the article (of
+``main`` or the body where a page has none) is cut into blocks and its references are decoded.
 
 Running text of an article (paragraphs, headings, lists, tables) is never a template, however often it is copied, nor
 is a subtree that holds half of its page's main text. No element is deleted for its class or id that holds most of the
 running text of its article, or of its page where it is in none.
 
 Defined cases: null or empty html has empty text; a null url is a host of its own; markup that is never closed ends
-with its parent; repeated rows and rows that share a page_id are pages each; an empty table gives an empty result;
+with its parent; repeated rows are pages each, and rows that share a page_id (or have none) share nothing else; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustscore.llm.words import list_array
@@ -36,6 +38,7 @@ _TAG = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 # Up to the next ">" or over the next "=" and its value; a quote that is never closed opens no value.
 _STEP = re.compile(r"[^>=]*+(?:(=)\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+")
 _ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(\S*+)))?+")
+_DIGITS = re.compile(r"[0-9]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
@@ -78,6 +81,7 @@ class Node:
     start: int
     parent: "Node | None" = None
     names: str = ""
+    classes: str = ""
     role: str = ""
     hidden: bool = False
     opened: int = 0  # where its content begins
@@ -165,6 +169,8 @@ def parse(page: str) -> Node:
                     node.hidden = True
                 elif name in ("class", "id"):
                     node.names += " " + "".join(values).lower()
+                    if name == "class":
+                        node.classes += " " + _DIGITS.sub("", "".join(values).lower())
         here.parts.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in FLOW | KEPT_TAGS | {"div", "section"}:
             node.end = at
@@ -206,13 +212,17 @@ def host_of(url: str | None) -> str:
 
 
 def subtree_names(host: str, page: str, root: Node) -> dict[int, int]:
-    """Name of every subtree on its host: a hash of its tag, its text with white space evened out, and its children."""
+    """Name of every subtree on its host: a hash of its start, its text with white space evened out, and its children."""
     digests: dict[int, bytes] = {}
     for node in reversed(list(nodes(root))):  # children come before their parents
-        tree = xxhash.xxh3_128(_flat(page[node.start : node.opened] if node is not root else host))
+        start = " ".join([node.tag, node.role, *sorted(set(node.classes.split()))])
+        tree = xxhash.xxh3_128(start.encode("utf-8", "surrogatepass"))
         raw = page[node.opened : node.end] if node.tag in RAW else ""
         for part in node.parts if not raw else (raw,):
-            tree.update(b"\0" + (_flat(part) if isinstance(part, str) else digests[id(part)]))
+            if isinstance(part, Node):
+                tree.update(b"\1" + digests[id(part)])
+            elif flat := _flat(part):
+                tree.update(b"\0" + flat)
         digests[id(node)] = tree.digest()
     return {number: xxhash.xxh64_intdigest(_flat(host) + b"\n" + digest) for number, digest in digests.items()}
 
@@ -339,19 +349,29 @@ class Page:
     def template_names(self, main_length: int) -> list[int]:
         """Names of the subtrees that may be templates: not those that hold half of the main text."""
         found, names = set(), self._names()
+        sizes: dict[int, int] = {}
+        for node in reversed(list(nodes(self.root))):  # children come before their parents
+            sizes[id(node)] = sum(len(part.strip()) if isinstance(part, str) else sizes[id(part)] for part in node.parts)
         for node in self.candidates:
-            if id(node) in self.dropped or 2 * (node.end - node.start) < main_length:
+            if id(node) in self.dropped or 2 * sizes[id(node)] < main_length:
                 found.add(names[id(node)])
         return sorted(found)
 
 
+def _page_key(url: Column, page: Column) -> Column:
+    """Names a page by what it is, so that pages without an id do not meet under one key."""
+    nothing = F.lit("")
+    return F.unhex(F.md5(F.concat_ws("\n", F.coalesce(url, nothing), F.coalesce(page, nothing))))
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function: names of each page's subtrees and a hash of its main text."""
+    """Arrow function: each page's host and a hash of its main text, and names of its subtrees."""
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             rows = batch.slice(start, 256)
-            mains, names, counts = [], [], []
+            hosts, mains, names, counts = [], [], [], []
             for url, page in zip(rows.column("url").to_pylist(), rows.column("html").to_pylist()):
+                hosts.append(xxhash.xxh64_intdigest(_flat(host_of(url))))
                 if not page:
                     mains.append(0)
                     counts.append(0)
@@ -364,11 +384,12 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(len(own))
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("page_id"),
+                    rows.column("key"),
+                    pa.array(np.array(hosts, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(mains, dtype=np.uint64).view(np.int64)),
                     list_array(np.array(names, dtype=np.uint64).view(np.int64), np.array(counts)),
                 ],
-                names=["page_id", "main", "names"],
+                names=["key", "host", "main", "names"],
             )
 
 
@@ -376,9 +397,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         packed = [press.compress((page or "").encode()) for page in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(packed, pa.binary())], names=["page_id", "url", "packed"]
-        )
+        columns = [batch.column(name) for name in ("page_id", "url", "key")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=["page_id", "url", "key", "packed"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,27 +416,34 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def site_templates(named: DataFrame, min_pages: int) -> DataFrame:
-    """Names (each is one subtree on one host) that stand on ``min_pages`` pages with different main texts."""
-    pairs = named.select("main", F.explode("names").alias("name"))
-    return pairs.groupBy("name").agg(F.count_distinct("main").alias("n")).where(F.col("n") >= min_pages).select("name")
+def site_templates(named: DataFrame, min_pages: int, share: float) -> DataFrame:
+    """Names (each is one subtree on one host) on enough of their host's pages with different main texts.
+
+    Enough is ``share`` of them, but ``min_pages`` at least.
+    """
+    hosts = named.groupBy("host").agg(F.count_distinct("main").alias("pages"))
+    pairs = named.select("host", "main", F.explode("names").alias("name"))
+    counted = pairs.groupBy("name").agg(F.min("host").alias("host"), F.count_distinct("main").alias("n"))
+    recurring = counted.where(F.col("n") >= min_pages).join(hosts, "host")
+    return recurring.where(F.col("n") >= F.col("pages") * share).select("name")
 
 
-def extract(pages: DataFrame, min_pages: int = 8) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 4, share: float = 0.01) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages`` (``page_id, url, html``)."""
+    keyed = pages.select("page_id", "url", "html", _page_key(F.col("url"), F.col("html")).alias("key"))
     named = materialized(
-        pages.select("page_id", "url", "html").mapInArrow(_named, "page_id long, main long, names array<long>"), "subtrees"
+        keyed.select("key", "url", "html").mapInArrow(_named, "key binary, host long, main long, names array<long>"), "subtrees"
     )
-    templates = site_templates(named, min_pages)
+    templates = site_templates(named, min_pages, share)
     found = (
-        named.select("page_id", F.explode("names").alias("name"))
+        named.select("key", F.explode("names").alias("name"))
         .join(templates, "name")
-        .groupBy("page_id")
+        .groupBy("key")
         .agg(F.collect_set("name").alias("templates"))
     )
-    packed = pages.select("page_id", "url", "html").mapInArrow(_packed, "page_id long, url string, packed binary")
+    packed = keyed.mapInArrow(_packed, "page_id long, url string, key binary, packed binary")
     return (
-        packed.join(found.withColumnRenamed("page_id", "_page"), F.col("page_id").eqNullSafe(F.col("_page")), "left")
+        packed.join(found, "key", "left")
         .select("page_id", "url", "packed", "templates")
         .mapInArrow(_extracted, "page_id long, url string, text string")
     )
