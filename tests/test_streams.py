@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,7 @@ def test_completed_jobs_are_scored_once(spark, tmp_path):
     finals = jobs.job_outcomes(decoded).select("job", F.col("outcome").alias("kind"))
     sink(finals, 0)
     sink(finals, 0)  # a retried batch replaces its folder
+    sink(finals, 7)  # a replay under another number scores nothing again
     scored = spark.read.parquet(str(tmp_path / "scored")).collect()
     assert {(r.job, r.review_id, r.product_id) for r in scored} == {("ok", "r1", "p"), ("ok", "r2", "p")} and len(scored) == 2
     assert all(r.network_score >= 0 for r in scored)
@@ -108,6 +110,48 @@ def test_silences_in_stored_events(spark):
     assert [(r.job, r.last_seq, r.status) for r in found] == [("a", 1, 504)]
 
 
+def spells_by_hand(rows, silence):
+    found = []
+    for job in {row[0] for row in rows}:
+        spell = []
+        for at, seq, name in sorted((at, seq, name) for j, seq, at, name in rows if j == job and at is not None) + [(None, None, None)]:
+            if spell and (at is None or spell[-1][0] + silence < at):
+                ended = any(e[2] == "done" for e in spell)
+                found.append((job, spell[0][0], spell[-1][0], spell[-1][1], len(spell), None if ended else 504))
+                spell = []
+            spell.append((at, seq, name))
+    return sorted(found, key=repr)
+
+
+def spells_of(frame):
+    seconds = [F.unix_seconds(name).alias(name) for name in ("started", "stopped")]
+    return sorted(map(tuple, frame.select("job", *seconds, "last_seq", "events", "status").collect()), key=repr)
+
+
+def test_activity_spells_in_batch_and_stream(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [("a", 0, 0, "x"), ("a", 1, 600, "x"), ("a", 2, 1201, "done"), ("a", 3, 1201, "x"), (None, 0, 5, "x"), ("n", 0, None, "x")]
+    for job in range(8):
+        at = 0
+        for seq in range(draw.randrange(1, 40)):
+            at += draw.choice([0, 1, 30, 599, 600, 601, 602, 5000])
+            rows.append((f"j{job}", seq, at, draw.choice(["x", "x", "x", "done"])))
+    rows.append(("late", 0, 10_000_000, "x"))
+    frame = spark.createDataFrame(rows, "job string, seq long, at long, event string").select(
+        "job", "seq", "event", F.timestamp_seconds("at").alias("received_at")
+    )
+    ends = F.col("event") == "done"
+    expected = spells_by_hand(rows, 600)
+    assert spells_of(jobs.activity_spells(frame, 600, ends)) == expected
+    assert jobs.activity_spells(frame.limit(0), 600).count() == 0
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")).withWatermark("received_at", "0 seconds")
+    run = (jobs.activity_spells(stream, 600, ends).writeStream.format("parquet").outputMode("append")
+           .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")))
+    run.awaitTermination()
+    assert spells_of(spark.read.parquet(str(tmp_path / "out"))) == [row for row in expected if row[0] != "late"]
+
+
 def test_review_reader_and_responses(spark, tmp_path):
     path = tmp_path / "reviews.json"
     path.write_text("\n".join([review(1, rating=4.5, written_at="2026-08-01T10:00:00"), review(2, images=["i"]), '{"platform":"web","product_id":"p","review_id":"x"}']))

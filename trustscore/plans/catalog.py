@@ -1669,6 +1669,56 @@ def w6(t: Tables) -> DataFrame:
     return jobs.first_silences(t.job_events(), 36_000)
 
 
+SPELLS_SQL = f"""{EVENTS_SQL}, marked as (select *, coalesce(ts > lag(ts) over w + interval 36000 second, true) as opens from valid window w as (partition by job order by ts)),
+numbered as (select *, count(*) filter (opens) over (partition by job order by ts) as spell from marked),
+spells as (select job, min(ts) as started, max(ts) as stopped, arg_max(seq, struct_pack(ts := ts, seq := seq)) as last_seq, count(*) as events,
+  case when not bool_or(event in ('done', 'error')) then 504 end as status from numbered group by job, spell)"""
+
+
+@query("W6_activity_spells", f"with {SPELLS_SQL} select * from spells")
+def w6s(t: Tables) -> DataFrame:
+    return jobs.activity_spells(t.job_events(), 36_000, F.col("event").isin("done", "error"))
+
+
+@query(
+    "W6_stream_spells",
+    f"with {SPELLS_SQL} select * from spells where stopped + interval 36000 second <= (select date_trunc('milliseconds', max(ts)) from valid)",
+)
+def w6b(t: Tables) -> DataFrame:
+    """The stored events as a file stream; spells whose silence has passed when the input ends, silent jobs included."""
+    folder = f"{shared_folder(t.spark)}/spells-{pd.Timestamp.now().value}"
+    stored = t.job_events().select("job", "seq", "event", "received_at")
+    stored.write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(stored.schema).parquet(f"{folder}/in").withWatermark("received_at", "0 seconds")
+    run = (
+        jobs.activity_spells(stream, 36_000, F.col("event").isin("done", "error"))
+        .writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start(f"{folder}/out")
+    )
+    run.awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out")
+
+
+@query(
+    "W5_sink_replay",
+    f"""with {OUTCOME_SQL}, done_jobs as (select job from outcomes where outcome = 'complete')
+select job, count(*) as reviews, count(distinct seq) as different, 1 as batches from live join done_jobs using (job) where is_review group by 1""",
+)
+def w5b(t: Tables) -> DataFrame:
+    """The sink fed with every outcome three times: a batch, its retry, and a replay under another number."""
+    decoded = jobs.decoded_once(t.job_events())
+    store = jobs.job_reviews(jobs.live_events(decoded))
+    folder = f"{shared_folder(t.spark)}/scored-{pd.Timestamp.now().value}"
+    sink = jobs.completed_sink(lambda: store, analyze_flat, folder)
+    finals = jobs.job_outcomes(decoded).select("job", F.col("outcome").alias("kind"))
+    for batch in (0, 0, 1):
+        sink(finals, batch)
+    return t.spark.read.parquet(folder).groupBy("job").agg(
+        F.count("*").alias("reviews"), F.count_distinct("review_id").alias("different"),
+        F.count_distinct("batch_id").cast("int").alias("batches"),
+    )
+
+
 @query(
     "W7_dedup_reviews",
     f"""with {EVENTS_SQL} select job, count(*) + count(*) filter (event = 'review' and not is_review) as events, count(*) filter (is_review) as reviews from valid group by 1""",

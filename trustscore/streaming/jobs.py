@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -159,6 +160,41 @@ def first_silences(events: DataFrame, silence_seconds: int = C.SILENCE_SECONDS)
     return gaps.filter(silent).groupBy("job").agg(F.min("previous.seq").alias("last_seq"), F.lit(504).alias("status"))
 
 
+def activity_spells(events: DataFrame, silence_seconds: int = C.SILENCE_SECONDS, ends: Column | None = None) -> DataFrame:
+    """W6 by session windows: the spells in which a job sends events, each followed by silence.
+
+    A spell ends where nothing comes for more than ``silence_seconds``; ``status`` is 504 unless an event of the
+    spell fulfils ``ends``. ``events`` has ``job``, ``seq`` and ``received_at``; a stream also needs a watermark on
+    ``received_at`` and emits a spell once the watermark has passed its silence. Sessions are merged on the JVM, and
+    stored events are first combined per job and stretch of one silence, which never holds two spells, so that a job
+    of very many events reaches its task as few rows. A null ``received_at`` belongs to no spell.
+    """
+    last = F.struct("received_at", "seq")
+    facts = events.select("job", "seq", "received_at", (F.lit(False) if ends is None else F.coalesce(ends, F.lit(False))).alias("ends"))
+    if events.isStreaming:
+        spell = F.session_window("received_at", f"{silence_seconds} seconds")
+        merged = facts.groupBy("job", spell.alias("spell")).agg(
+            F.min("received_at").alias("started"), F.max(last).alias("last"), F.count("*").alias("events"), F.max("ends").alias("ended")
+        )
+    else:
+        stretches = facts.groupBy("job", F.window("received_at", f"{silence_seconds} seconds").alias("stretch")).agg(
+            F.min("received_at").alias("started"), F.max(last).alias("last"), F.count("*").alias("events"), F.max("ends").alias("ended")
+        )
+        micros = F.unix_micros("last.received_at") - F.unix_micros("started")
+        gap = F.make_interval(secs=(micros / 1_000_000).cast("decimal(18,6)") + silence_seconds)
+        merged = stretches.groupBy("job", F.session_window("started", gap).alias("spell")).agg(
+            F.min("started").alias("started"), F.max("last").alias("last"), F.sum("events").alias("events"), F.max("ended").alias("ended")
+        )
+    return merged.select(
+        "job",
+        "started",
+        F.col("last.received_at").alias("stopped"),
+        F.col("last.seq").alias("last_seq"),
+        "events",
+        F.when(~F.col("ended"), 504).alias("status"),
+    )
+
+
 # --- stream -------------------------------------------------------------------------------------
 
 STREAM_OUTPUT = (
@@ -281,13 +317,31 @@ def analyze_completed(store: DataFrame, outcomes: DataFrame, analyze: Callable[[
     return flat.withColumn("job", parts[0]).withColumn("product_id", parts[1])
 
 
+def _scored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Jobs that other micro-batches have scored: the scored rows are their own log of commits."""
+    try:
+        scored = spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return scored.filter(F.col("batch_id") != batch_id).select("job").distinct()
+
+
 def completed_sink(
     read_store: Callable[[], DataFrame], analyze: Callable[[DataFrame], DataFrame], path: str
 ) -> Callable[[DataFrame, int], None]:
-    """W5 as a ``foreachBatch`` function: one folder per micro-batch, replaced when the batch is retried."""
+    """W5 as a ``foreachBatch`` function: one folder per micro-batch, replaced when the batch is retried.
+
+    A job that another batch has scored is left out, so a stream that is replayed under new batch numbers scores
+    no job twice. A folder appears only when its write is committed.
+    """
 
     def write(final_rows: DataFrame, batch_id: int) -> None:
         outcomes = final_rows.filter(F.col("kind") == "complete").select("job", F.lit("complete").alias("outcome"))
+        before = _scored_before(final_rows.sparkSession, path, batch_id)
+        if before is not None:
+            outcomes = outcomes.join(before, "job", "left_anti")
         if outcomes.isEmpty():
             return
         analyze_completed(read_store(), outcomes, analyze).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
