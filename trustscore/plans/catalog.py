@@ -1687,7 +1687,7 @@ def w6s(t: Tables) -> DataFrame:
 def w6b(t: Tables) -> DataFrame:
     """The stored events as a file stream; spells whose silence has passed when the input ends, silent jobs included."""
     folder = f"{shared_folder(t.spark)}/spells-{pd.Timestamp.now().value}"
-    stored = t.job_events().select("job", "seq", "event", "received_at")
+    stored = t.job_events().select("job", "seq", "event", F.col("received_at").cast("timestamp").alias("received_at"))
     stored.write.parquet(f"{folder}/in")
     stream = t.spark.readStream.schema(stored.schema).parquet(f"{folder}/in").withWatermark("received_at", "0 seconds")
     run = (
@@ -1696,7 +1696,9 @@ def w6b(t: Tables) -> DataFrame:
         .trigger(availableNow=True).start(f"{folder}/out")
     )
     run.awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out")
+    # Back to clock times without a zone, as the table has them.
+    clock = {name: F.col(name).cast("timestamp_ntz") for name in ("started", "stopped")}
+    return t.spark.read.parquet(f"{folder}/out").withColumns(clock)
 
 
 @query(

@@ -180,7 +180,7 @@ def activity_spells(events: DataFrame, silence_seconds: int = C.SILENCE_SECONDS,
         stretches = facts.groupBy("job", F.window("received_at", f"{silence_seconds} seconds").alias("stretch")).agg(
             F.min("received_at").alias("started"), F.max(last).alias("last"), F.count("*").alias("events"), F.max("ends").alias("ended")
         )
-        micros = F.unix_micros("last.received_at") - F.unix_micros("started")
+        micros = F.unix_micros(F.col("last.received_at").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
         gap = F.make_interval(secs=(micros / 1_000_000).cast("decimal(18,6)") + silence_seconds)
         merged = stretches.groupBy("job", F.session_window("started", gap).alias("spell")).agg(
             F.min("started").alias("started"), F.max("last").alias("last"), F.sum("events").alias("events"), F.max("ended").alias("ended")
