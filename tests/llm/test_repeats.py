@@ -81,3 +81,14 @@ def test_what_blocks_decide_alone_never_meets_in_one_group():
             groups += [(r["p"], len(repeats.Entries.unpacked([r["blob"]]).keys)) for r in batch.to_pylist() if r["local"]]
     assert len(groups) == 20 == len({p for p, _ in groups})
     assert all(count == 200 for _, count in groups)
+
+
+def test_long_words_made_to_collide_are_told_apart(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, f"{word} {tail}"), (2, f"{other} {tail}"), (3, f"x {word} {tail}")]
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}

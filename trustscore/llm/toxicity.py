@@ -5,9 +5,9 @@ Windows of ``WINDOW`` words overlap by half and cover the whole text; a document
 to a probability on the training sample.
 
 The fit uses a bounded sample of labelled documents outside the held-out quarter (``sample`` rows, in hash order).
-Executors count words in it and pick at most ``PER_DOCUMENT`` windows per document: the windows with the most
-class-bound words, and others in hash order. Only those windows reach the driver, and only the document texts enter
-a score.
+Executors count words in it, keep the odds of at most ``bound_words`` words bound to the toxic class, and pick at most
+``per_document`` windows per document (two parameters of the fit, 2,048 and 3): the windows with the most class-bound
+words, and others in hash order. Only those windows reach the driver, and only the document texts enter a score.
 
 Defined cases: null texts, empty texts and texts without letters or digits score 0; texts shorter than a window are
 one padded window; a document with several labels is toxic if any says so; a null doc_id is never held out and never
@@ -281,7 +281,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def _training_windows(odds: dict[int, float]):
+def _training_windows(odds: dict[int, float], per_document: int = PER_DOCUMENT):
     """Arrow function: the windows of a document with the most class-bound words, others in hash order."""
     keys = np.array(sorted(odds), dtype=np.uint64)
     values = np.array([odds[int(key)] for key in keys])
@@ -301,11 +301,11 @@ def _training_windows(odds: dict[int, float]):
             for number in range(len(offsets) - 1):
                 low, high = np.searchsorted(row, (number, number + 1))
                 if toxic[number]:
-                    strong = low + np.argsort(-strength[low:high], kind="stable")[: PER_DOCUMENT - 1]
+                    strong = low + np.argsort(-strength[low:high], kind="stable")[: per_document - 1]
                     picked = strong[strength[strong] > 0]
                 else:
                     strong = low + np.argsort(-strength[low:high], kind="stable")[:1]
-                    picked = np.unique(np.concatenate([strong, low + np.argsort(chance[low:high])[: PER_DOCUMENT - 1]]))
+                    picked = np.unique(np.concatenate([strong, low + np.argsort(chance[low:high])[: per_document - 1]]))
                 for window in picked.tolist():
                     spots = range(start[window], start[window] + size[window])
                     labels.append(int(toxic[number]))
@@ -332,7 +332,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
+def fit(
+    documents: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    per_document: int = PER_DOCUMENT,
+    bound_words: int = BOUND_WORDS,
+) -> Network | None:
     """A network from at most ``sample`` labelled documents outside the held-out quarter; None without both classes."""
     told = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -357,10 +363,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Networ
         .select("word", odds.alias("odds"))
         .where("odds > 1")
         .orderBy(F.desc("odds"), "word")
-        .limit(BOUND_WORDS)
+        .limit(bound_words)
     )
     known = {int(np.int64(row.word).astype(np.uint64)): row.odds for row in bound.collect()}
-    picked = rows.select("text", "toxic").mapInArrow(_training_windows(known), "toxic int, window array<binary>").toArrow()
+    picked = rows.select("text", "toxic").mapInArrow(_training_windows(known, per_document), "toxic int, window array<binary>").toArrow()
     windows, marks = picked.column("window").to_pylist(), np.array(picked.column("toxic").to_pylist(), dtype=np.float32)
     order = sorted(range(len(windows)), key=lambda i: (marks[i], windows[i]))
     network = train([windows[i] for i in order], marks[order])
@@ -388,9 +394,15 @@ def _platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 100) -> np.ndar
     return found
 
 
-def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document."""
-    network = fit(documents, labels, sample)
+def score(
+    documents: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    per_document: int = PER_DOCUMENT,
+    bound_words: int = BOUND_WORDS,
+) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; the other parameters bound the fit alone."""
+    network = fit(documents, labels, sample, per_document, bound_words)
     rows = documents.select("doc_id", "text")
     if network is None:
         scored = rows.select("doc_id", F.lit(0.0).alias("score"))

@@ -1,7 +1,8 @@
 """Words of whole Arrow text columns as numpy arrays: positions, hashes, hashes of word windows.
 
 A word is a run of ``[^\\x20\\x09-\\x0D]``. Hashes are polynomials modulo 2**64 over random byte values,
-so the hash of any word or window comes from two prefix sums; they depend on content only.
+so the hash of any word or window comes from two prefix sums; they depend on content only. Some pairs of long words
+built for it agree in such a polynomial, so words of over ``LONG_WORD`` bytes have an XXH3 hash instead.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 500_000
+LONG_WORD = 64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -100,6 +103,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     finishes[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
     hashes = RollingHash(_BYTE_VALUE[data], 2).windows(starts, ends)
+    for number in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[number] = xxhash.xxh3_64_intdigest(data[starts[number] : ends[number]].tobytes())
     first = np.searchsorted(starts, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return Words(data, starts, ends, hashes, row, first)
