@@ -9,6 +9,7 @@ from trustscore.functions import text
 from trustscore.operators import labelled
 from trustscore.operators.network_signal import text_key
 from trustscore.operators.validation import enforce
+from trustscore.session import materialized
 
 
 class UnsafeJoin(ValueError):
@@ -61,10 +62,14 @@ def representative_differences(retained: DataFrame, prepared: DataFrame) -> Data
     )
 
 
+def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
+    """Suspicious rows with the key of their normalised text; prepared examples already have it."""
+    key = F.col("norm_key") if "norm_key" in rows.columns else text_key(text.normalize_text("text")).alias("norm_key")
+    return rows.filter(F.col("label") == 1).select(*columns, F.col("text").alias("review"), key)
+
+
 def _suspicious_with_ids(splits: DataFrame, master: DataFrame) -> DataFrame:
-    rows = splits.filter(F.col("label") == 1).select(
-        "split", F.col("text").alias("review"), text_key(text.normalize_text("text")).alias("norm_key")
-    )
+    rows = _keyed(splits, "split")
     return rows.join(master.select("norm_key", "master_id"), "norm_key", "left")
 
 
@@ -79,7 +84,10 @@ def _with_diagnosis(splits: DataFrame, master: DataFrame, diagnoses: DataFrame)
 
 def attach_problems(splits: DataFrame, master: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """D13 guards: no representative, no diagnosis, another text under the same id, an id in several splits."""
-    joined = _with_diagnosis(splits, master, diagnoses)
+    return _problems(_with_diagnosis(splits, master, diagnoses))
+
+
+def _problems(joined: DataFrame) -> DataFrame:
     problem = (
         F.when(F.col("master_id").isNull(), "no_representative")
         .when(F.col("diagnostic_type").isNull(), "no_diagnosis")
@@ -98,10 +106,13 @@ def attach_problems(splits: DataFrame, master: DataFrame, diagnoses: DataFrame)
 
 def attach_by_id(splits: DataFrame, master: DataFrame, diagnoses: DataFrame, check: bool = True) -> DataFrame:
     """(master_id, split, review, diagnostic_type) of the suspicious split rows."""
+    joined = _with_diagnosis(splits, master, diagnoses)
     if check:
-        _raise_on(attach_problems(splits, master, diagnoses), "diagnoses cannot be attached")
+        # Guard and result read the same join, so it is written once.
+        joined = materialized(joined, "attached")
+        _raise_on(_problems(joined), "diagnoses cannot be attached")
     return (
-        _with_diagnosis(splits, master, diagnoses)
+        joined
         .filter(F.col("diagnosed_key") == F.col("norm_key"))
         .select("master_id", "split", "review", "diagnostic_type")
     )
@@ -109,10 +120,8 @@ def attach_by_id(splits: DataFrame, master: DataFrame, diagnoses: DataFrame, che
 
 def attach_by_text(rows: DataFrame, by_text: DataFrame, check: bool = True) -> DataFrame:
     """Suspicious rows with the first diagnosis of their normalised text (see ``load_diagnoses_by_text``)."""
-    keyed = rows.filter(F.col("label") == 1).select(
-        F.col("text").alias("review"), text_key(text.normalize_text("text")).alias("norm_key")
-    )
-    joined = keyed.join(by_text.select("norm_key", "master_id", "diagnostic_type"), "norm_key", "left")
+    joined = _keyed(rows).join(by_text.select("norm_key", "master_id", "diagnostic_type"), "norm_key", "left")
     if check:
+        joined = materialized(joined, "attached")
         _raise_on(joined.filter(F.col("diagnostic_type").isNull()).select("review"), "no diagnosis for the text")
     return joined.filter(F.col("diagnostic_type").isNotNull()).select("master_id", "review", "diagnostic_type")
