@@ -21,14 +21,19 @@ def _text(column: str) -> Column:
 # --- G1, G2: repetition -------------------------------------------------------------------------
 
 
-def _thrice(sentences: Column) -> Column:
-    """Some sentence of at least two characters occurs three times: equal neighbours two apart once sorted."""
-    ordered = F.sort_array(F.filter(sentences, lambda sentence: F.length(sentence) >= 2))
+def _third_alike(ordered: Column) -> Column:
     shifted = F.slice(ordered, F.lit(3), F.greatest(F.size(ordered) - 2, F.lit(0)))
     pairs = F.zip_with(ordered, shifted, lambda first, third: F.coalesce(first == third, F.lit(False)))
     return F.exists(pairs, lambda same: same)
 
 
+def _thrice(sentences: Column) -> Column:
+    """Some sentence of at least two characters occurs three times: equal neighbours two apart once sorted."""
+    ordered = F.sort_array(F.filter(sentences, lambda sentence: F.length(sentence) >= 2))
+    # Named by a lambda, the sorted sentences are made once and not for each use.
+    return F.transform(F.array(ordered), _third_alike)[0]
+
+
 def _sentences(content: Column, clean=text.collapse_spaces) -> Column:
     return F.transform(F.split(content, C.SENTENCE_BREAK), clean)
 
