@@ -2,12 +2,15 @@
 
 import itertools
 import math
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trustscore.functions import grams, text
+from trustscore.llm import collocations
 from trustscore.operators import diagnosis, network_signal
 
 
@@ -69,3 +72,12 @@ def test_holders_of_a_gram_are_added_up_per_slice_of_a_product():
     assert sorted((str(r["product_id"]), r["term"], r["copies"]) for r in found) == [
         ("None", "ab", 2), ("p", "ab", 4), ("p", "aba", 1), ("p", "ba", 1), ("p", "bab", 1), ("q", "bc", 4)
     ]
+
+
+def test_splitting_into_words_takes_few_times_the_text():
+    data = np.frombuffer((b"x" * 99 + b" ") * 20_000, dtype=np.uint8)
+    tracemalloc.start()
+    words, _, piece = collocations._words(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == 20_000 and not piece.any() and peak < 8 * len(data)

@@ -59,12 +59,14 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     finishes[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+    del edge, begins, finishes
     bounds = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(ends - starts, out=bounds[1:])
     words = pa.Array.from_buffers(
         pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(_LOWER[data[inside]]))]
     )
-    piece = np.cumsum(_BREAK[data])[starts] if len(starts) else np.zeros(0, dtype=np.int64)
+    # Breaks before a word, looked up: counted at every byte they would take eight times the text.
+    piece = np.searchsorted(np.flatnonzero(_BREAK[data]), starts)
     return words, np.searchsorted(offsets, starts, side="right") - 1, piece
 
 
@@ -89,8 +91,10 @@ def _counted(words: pa.Array, row: np.ndarray, piece: np.ndarray, langs: pa.Arra
 
     heads, head_values = _numbered(lang * base + first)
     pairs, pair_values = _numbered(heads * base + lead(1))
+    del heads, lang
     whole, whole_values = _numbered(pairs * base + lead(2))
     counts = np.bincount(whole, minlength=len(whole_values))
+    del pairs, whole, first
 
     pair_of, third = np.divmod(whole_values, base)
     head_of, second = np.divmod(pair_values[pair_of], base)
@@ -110,7 +114,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = offsets[start : stop + 1]
             words, row, piece = _words(data[part[0] : part[-1]], part - part[0])
             if len(words):
-                yield _counted(words, row, piece, batch.column("lang").slice(start, stop - start))
+                counted = _counted(words, row, piece, batch.column("lang").slice(start, stop - start))
+                del words, row, piece
+                yield counted
+                del counted
+            # What a slice freed goes back before the next one: two workers share an executor with its heap.
+            pa.default_memory_pool().release_unused()
 
 
 def count_windows(documents: DataFrame) -> DataFrame:
