@@ -1,7 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from llm.helpers import documents
 from trustscore.llm import collocations
 
@@ -85,3 +88,17 @@ def test_empty_table_and_clashing_names(spark):
     rows = spoken(3, 60)
     clashing = documents(spark, rows).selectExpr("*", "'q' as window", "1 as n", "2 as f", "'h' as head", "3 as salt", "4 as first")
     assert got(clashing) == plain(rows)
+
+
+def test_counting_a_large_batch_takes_little_memory():
+    """Two workers share an executor with its heap: the arrays of a slice stay far below the 124 MB of 6 MB of text."""
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(3000)}" for _ in range(1000)) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    tracemalloc.start()
+    try:
+        windows = sum(sum(part.column("n").to_pylist()) for part in collocations._windows(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert windows == 1_200_000 and peak < 100_000_000
