@@ -44,10 +44,22 @@ def prepare_master_rows(source: DataFrame, prepared: DataFrame | None = None, ch
     usable = labelled.select_labelled(source.withColumn("master_id", text.master_id("master_id")), carry=("master_id",))
     retained = labelled.prepare_examples(usable, carry=("master_id",))
     if prepared is not None and check:
-        _raise_on(representative_differences(retained, prepared), "recovered representatives differ from the prepared set")
+        # Guard and result read the same rows, so they are written once.
+        retained = materialized(retained, "retained")
+        if not _differing_keys(retained, prepared).isEmpty():
+            _raise_on(representative_differences(retained, prepared), "recovered representatives differ from the prepared set")
     return retained
 
 
+def _differing_keys(retained: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Keys of the texts that ``representative_differences`` lists; texts are compared by digest and never joined."""
+    known = "norm_key" in prepared.columns
+    right_key = F.col("norm_key") if known else text_key(text.normalize_text("text")).alias("norm_key")
+    left = retained.select("norm_key", F.struct(text_key(F.col("text")).alias("text"), "label").alias("retained"))
+    right = prepared.select(right_key, F.struct(text_key(F.col("text")).alias("text"), "label").alias("prepared"))
+    return left.join(right, "norm_key", "full_outer").filter(~F.col("retained").eqNullSafe(F.col("prepared"))).select("norm_key")
+
+
 def representative_differences(retained: DataFrame, prepared: DataFrame) -> DataFrame:
     """Texts on one side only, or with another representative or label; empty when the sets are equal."""
     left = retained.select("norm_key", F.col("text").alias("retained_text"), F.col("label").alias("retained_label"))
