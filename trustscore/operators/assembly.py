@@ -13,6 +13,7 @@ from trustscore.functions import text
 from trustscore.functions.ranking import side_by_side
 from trustscore.operators import labelled
 from trustscore.operators.network_signal import text_key
+from trustscore.session import materialized
 
 
 @dataclass(frozen=True)
@@ -109,14 +110,15 @@ def select_synthetic(synthetic: DataFrame) -> DataFrame:
     return labelled.select_labelled(synthetic, "content", "final_label", "use_for_training")
 
 
-def augmentation_problems(synthetic: DataFrame) -> DataFrame:
-    """One row per broken guard.
+def augmentation_problems(synthetic: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+    """One row per broken guard; ``examples`` are the prepared synthetic rows where the caller has them.
 
     NORMAL labels are looked for in the raw rows, before the flag or de-duplication could hide one.
     """
     name = F.upper(text.strip(F.coalesce(F.col("final_label"), F.lit(""))))
     raw = synthetic.agg(F.count_if(name == "NORMAL").alias("normal_rows"))
-    usable = labelled.prepare_examples(select_synthetic(synthetic)).agg(
+    prepared = labelled.prepare_examples(select_synthetic(synthetic)) if examples is None else examples
+    usable = prepared.agg(
         F.count("*").alias("usable"), F.count_if(F.col("label") != 1).alias("not_suspicious")
     )
     problems = F.array_compact(
@@ -129,23 +131,27 @@ def augmentation_problems(synthetic: DataFrame) -> DataFrame:
     return side_by_side([raw, usable]).select(F.explode(problems).alias("problem"))
 
 
-def check_augmentation(synthetic: DataFrame) -> None:
-    found = [row.problem for row in augmentation_problems(synthetic).collect()]
+def check_augmentation(synthetic: DataFrame, examples: DataFrame | None = None) -> None:
+    found = [row.problem for row in augmentation_problems(synthetic, examples).collect()]
     if found:
         raise InvalidAugmentation("synthetic augmentation must hold only usable SUSPICIOUS rows: " + ", ".join(found))
 
 
 def _additions(splits: DataFrame, examples: DataFrame) -> DataFrame:
     """Synthetic examples whose normalised text is in no real split."""
-    real = splits.select(text_key(text.normalize_text("text")).alias("norm_key"))
+    known = "norm_key" in splits.columns
+    real = splits.select("norm_key" if known else text_key(text.normalize_text("text")).alias("norm_key"))
     return examples.join(real, "norm_key", "left_anti")
 
 
 def augment_train(splits: DataFrame, synthetic: DataFrame, check: bool = True) -> DataFrame:
     """Real splits plus collision-free synthetic rows, which only ever enter train."""
+    examples = labelled.prepare_examples(select_synthetic(synthetic))
     if check:
-        check_augmentation(synthetic)
-    added = _additions(splits, labelled.prepare_examples(select_synthetic(synthetic)))
+        # Guard and result read the same examples, so they are written once.
+        examples = materialized(examples, "synthetic-examples")
+        check_augmentation(synthetic, examples)
+    added = _additions(splits, examples)
     return splits.select("text", "label", "split", F.lit(False).alias("synthetic")).unionByName(
         added.select("text", "label", F.lit(C.SPLITS[0]).alias("split"), F.lit(True).alias("synthetic"))
     )
@@ -154,7 +160,8 @@ def augment_train(splits: DataFrame, synthetic: DataFrame, check: bool = True) -
 def augment_audit(splits: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Synthetic rows selected, left after de-duplication, colliding with real texts, added; train size before and after."""
     selected = select_synthetic(synthetic)
-    examples = labelled.prepare_examples(selected)
+    # Two counts read the keys, so they are written once; the texts are not needed.
+    examples = materialized(labelled.prepare_examples(selected).select("norm_key"), "synthetic-keys")
     raw = selected.agg(F.count("*").alias("augmentation_raw_selected"))
     used = examples.agg(F.count("*").alias("augmentation_used_after_deduplication"))
     added = _additions(splits, examples).agg(F.count("*").alias("augmentation_added_to_train"))
