@@ -1,11 +1,14 @@
 """Tiles of the network signal: what is written and shuffled grows with the texts, not with the pairs of tiles."""
 
 import math
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trustscore.operators import network_signal, similarity_sums
+from trustscore.session import materialized, shared_folder
 
 
 def exchanges(frame):
@@ -86,3 +89,36 @@ def test_overlaps_of_many_lengths_are_summed_without_meeting():
     overlap = np.minimum(counts[:, None, :], counts[None, :, :]).sum(axis=2)
     expected = (2 * overlap / (sizes[:, None] + sizes[None, :])) @ copies
     assert similarity_sums.overlap_gains(codes, owners, tfs, sizes, copies) == pytest.approx(expected, rel=1e-9)
+
+
+def test_texts_move_once_to_their_tiles(spark):
+    """Reading the vocabularies and weighting the tiles share one shuffle of the texts, and no tile is written for it."""
+    shared = shared_folder(spark)
+    keyed = materialized(
+        network_signal.with_canonical(reviews(spark, [f"some review {i % 9} of a row" for i in range(40)])).drop("content"), "canonical"
+    )
+    before = set(Path(shared.removeprefix("file:")).iterdir())
+    weights = network_signal.tfidf(keyed)
+    assert len({bytes(r.text_key) for r in weights.collect()}) == 9
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.find("Initial Plan")]
+    assert final.count("REPARTITION_BY_NUM, [plan") - final.count("ReusedExchange") <= 2 and "ReusedExchange" in final
+    written = {path.name.rsplit("-", 1)[0] for path in set(Path(shared.removeprefix("file:")).iterdir()) - before}
+    assert written == {"stats"}
+
+
+def test_copies_go_without_their_characters():
+    rows = [{"product_id": p, "text_key": k, "canonical": k.decode() * 9, "length": 9} for p, k in (("p", b"a"), (None, b"a"), ("p", b"a"), ("p", b"b"))]
+    batches = [pa.RecordBatch.from_pylist(rows), pa.RecordBatch.from_pylist(rows[:3])]
+    sent = pa.Table.from_batches(list(network_signal._first_copies(iter(batches)))).to_pylist()
+    found = [(r["product_id"], r["text_key"], r["copies"], r["canonical"] is not None) for r in sent]
+    assert found == [("p", b"a", 2, True), (None, b"a", 1, True), ("p", b"b", 1, True), ("p", b"a", 2, False), (None, b"a", 1, False)]
+
+
+def test_pairs_of_two_files_meet_in_one_order(spark):
+    held = tiles(spark, 40).withColumn("asking", network_signal.F.lit(True))
+    orders = {}
+    for r in network_signal.tile_pairs(held, held).collect():
+        pair = (r.a_tile // network_signal.FILE_TILES, r.b_tile // network_signal.FILE_TILES)
+        orders.setdefault((r.a_product_id, *sorted(pair)), set()).add(pair)
+    assert all(len(found) == 1 for found in orders.values()) and len(orders) == 2 * 21

@@ -174,10 +174,10 @@ def similarity_sums(reviews: DataFrame) -> DataFrame:
     A review that cannot be compared (short, blank, or alone) has no mean and count 0.
     """
     keyed = materialized(network_signal.with_canonical(reviews).drop("content"), "canonical")
-    stats = network_signal.product_stats(network_signal.text_facts(keyed))
-    packed = network_signal.gram_tiles(network_signal.combined_texts(keyed), stats)
+    stats = materialized(network_signal.product_stats(network_signal.text_facts(keyed)), "stats")
+    packed = network_signal.gram_tiles(network_signal.partly_combined(keyed), stats)
     short = network_signal.combined_texts(keyed.filter(F.length("canonical") < C.MIN_INFORMATIVE_CHARS))
-    tiles = materialized(network_signal.weighted_tiles(packed, short), "weighted-tiles")
+    tiles = materialized(network_signal.weighted_tiles(packed, short, stats), "weighted-tiles")
     both = cosine_sums(tiles).join(dice_sums(tiles), ["product_id", "text_key"])
     # A text is as like itself and its copies as can be: 1 each, of which it is not compared with itself.
     total = C.COSINE_WEIGHT * F.col("cosine_sum") + C.DICE_WEIGHT * F.col("dice_sum") - 1.0
