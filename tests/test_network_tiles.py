@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from trustscore.functions import grams
 from trustscore.operators import network_signal, similarity_sums
 from trustscore.session import materialized
 
@@ -120,3 +121,33 @@ def test_pairs_of_two_files_meet_in_one_order(spark):
         pair = (r.a_tile // network_signal.FILE_TILES, r.b_tile // network_signal.FILE_TILES)
         orders.setdefault((r.a_product_id, *sorted(pair)), set()).add(pair)
     assert all(len(found) == 1 for found in orders.values()) and len(orders) == 2 * 21
+
+
+def test_products_that_fit_one_tile_are_not_held_against_each_other(spark):
+    """Many small products cost what they hold; their evidence, short texts and copies included, is that of tiles."""
+    rows = [
+        (product, f"{product}{i}", value, i)
+        for product in ("p", "q", "s", None)
+        for i, value in enumerate(
+            [f"some review {i * len(product or '') % 11} of a row" for i in range(30)] + ["ab", "x", "", None, "ab ab", "some", "ab"]
+        )
+    ]
+    rows += [("lone", "l", "a single review of some length", 0), ("few", "f", "ab", 0)]
+    frame = spark.createDataFrame(rows, "product_id string, review_id string, content string, row_no long")
+    for measure in ("hybrid", "cosine", "dice"):
+        whole = network_signal.text_evidence(frame, measure)
+        tiled = network_signal.text_evidence(frame, measure, tile_characters=60)
+        assert "Cartesian" not in whole._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" in tiled._jdf.queryExecution().executedPlan().toString()
+        one, other = ({(r.product_id, bytes(r.text_key)): r for r in rows.collect()} for rows in (whole, tiled))
+        assert one.keys() == other.keys() and len(one) > 30
+        for key, row in one.items():
+            assert (row.strong, row.compared) == (other[key].strong, other[key].compared)
+            assert row.total == pytest.approx(other[key].total) and row.top == pytest.approx(other[key].top)
+
+
+def test_few_codes_of_a_large_alphabet_are_numbered_alike():
+    codes = np.array([7, 1_000_003, 7, 0, 12])
+    wide, narrow = grams._numbers(codes, grams.CODE_POINTS), grams._numbers(np.tile(codes, 10**4), grams.CODE_POINTS)
+    assert wide[0].tolist() == narrow[0].tolist() == [0, 7, 12, 1_000_003]
+    assert wide[1].tolist() == narrow[1][:5].tolist() == [1, 3, 1, 0, 2]
