@@ -151,3 +151,18 @@ def test_few_codes_of_a_large_alphabet_are_numbered_alike():
     wide, narrow = grams._numbers(codes, grams.CODE_POINTS), grams._numbers(np.tile(codes, 10**4), grams.CODE_POINTS)
     assert wide[0].tolist() == narrow[0].tolist() == [0, 7, 12, 1_000_003]
     assert wide[1].tolist() == narrow[1][:5].tolist() == [1, 3, 1, 0, 2]
+
+
+@pytest.mark.parametrize("ratio", [0.01, 4, 150])
+def test_postings_are_those_that_the_left_side_reads(monkeypatch, ratio):
+    """However codes are dealt to columns and postings, the product is the plain one; other codes are not even sorted."""
+    monkeypatch.setattr(network_signal, "DENSE_RATIO", ratio)
+    draw = np.random.default_rng(3)
+    a, b = (np.where(draw.random((n, 60)) < np.linspace(0.02, 0.9, 60), draw.random((n, 60)), 0.0) for n in (30, 20))
+    a[:, 40:50] = 0.0
+    entries = [(*np.nonzero(side), side[np.nonzero(side)]) for side in (a, b)]
+    product = network_signal._Product(*entries, (30, 20), 60)
+    assert product.strip(0, 30) == pytest.approx(a @ b.T) and product.strip(7, 11) == pytest.approx(a[7:11] @ b.T)
+    often = np.count_nonzero(a, axis=0), np.count_nonzero(b, axis=0)
+    postings = (often[0] > 0) & (often[0] * often[1] * ratio <= 30 * 20)
+    assert len(product.rows_b) == len(product.values_b) == often[1][postings].sum() == product.first[-1]
